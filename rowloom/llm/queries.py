@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op6_language_id
+from .packing import op9_packing
+from .pii import op4_pii
 from .simhash_bk import op7_simhash
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_language_id, op7_simhash, op10_toxicity)
+    f.__name__: f for f in (op4_pii, op6_language_id, op7_simhash, op9_packing, op10_toxicity)
 }
 
 ORACLE: dict[str, str] = {}
