@@ -58,10 +58,10 @@ _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
 #: Capitalised words; one that the next sentence might begin with never follows a full stop.
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]*\p{Ll}"
-NAME_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({_TITLE})\.?[  ]({_NAME}(?:[  ]{_NAME}){{0,2}})(?![\p{{L}}\p{{M}}])"
+NAME_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({_TITLE})\.?[ \xa0]({_NAME}(?:[ \xa0]{_NAME}){{0,2}})(?![\p{{L}}\p{{M}}])"
 
 _UPPER = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c)) == "Lu") + "".join(chr(c) for c in range(0x370, 0x530) if unicodedata.category(chr(c)) == "Lu")
-_PY_NAME = rf"[{_UPPER}](?:[^\W\d_]|['’\-̀-ͯ])*[^\W\d_]"
+_PY_NAME = rf"[{_UPPER}](?:[^\W\d_]|['’\-\u0300-\u036f])*[^\W\d_]"
 
 _DETECT = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9\-]))"
@@ -72,7 +72,7 @@ _DETECT = re.compile(
     r"|(?P<phone>(?<![\w.])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}|\+\d{8,15})(?![\w\-]))"
     r"|(?P<key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk_live_|sk-|xox[abp]-)[A-Za-z0-9_\-]{16,})"
     r"|(?i:(?<![A-Za-z0-9])(?:\w*api[_\-]?key|\w*secret|\w*token|passw(?:or)?d|pwd|access[_\-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_\-.=]{8,})"
-    rf"|(?P<title>(?<!\w)(?:{_TITLE}))\.?[  ](?P<name>{_PY_NAME}(?:[  ]{_PY_NAME}){{0,2}})(?!\w)"
+    rf"|(?P<title>(?<!\w)(?:{_TITLE}))\.?[ \xa0](?P<name>{_PY_NAME}(?:[ \xa0]{_PY_NAME}){{0,2}})(?!\w)"
 )
 #: Without one of these a text has no entity; RE2 looks for them before anything else is done.
 _HINT = rf"[0-9@]|(?i:key|secret|token|passw|pwd)|(?:{_TITLE})\.?[ \x{{a0}}]"
@@ -247,7 +247,7 @@ def name_surrogate(key: bytes, kind: str, word: str, attempt: int = 0) -> str:
 
 def name_parts(title: str, name: str) -> list[tuple[str, str]]:
     """(kind, word) of each word: the last is the family name, those before are given names."""
-    words = re.split("[  ]", name)
+    words = re.split("[ \xa0]", name)
     return [(_GENDER[title], w) for w in words[:-1]] + [("family", words[-1])]
 
 
@@ -311,7 +311,7 @@ def _spoken_names(docs: DataFrame) -> DataFrame:
         "text", F.explode(F.regexp_extract_all("text", F.lit(NAME_PATTERN), F.lit(0))).alias("hit")
     )
     title = F.regexp_extract("hit", NAME_PATTERN, 1)
-    words = F.split(F.regexp_extract("hit", NAME_PATTERN, 2), "[  ]")
+    words = F.split(F.regexp_extract("hit", NAME_PATTERN, 2), "[ \\xa0]")
     gender = F.create_map(*[F.lit(x) for t, g in _GENDER.items() for x in (t, g)])
     each = hits.select("text", gender[title].alias("g"), words.alias("w")).select("text", "g", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
     return each.select("text", F.when(F.col("i") == F.col("n") - 1, "family").otherwise(F.col("g")).alias("kind"), F.lower("x").alias("word"))
