@@ -66,7 +66,7 @@ def _sum_over(vectors: DataFrame, dim: int, f: Callable[[np.ndarray], np.ndarray
 
 def learn(vectors: DataFrame, dim: int, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray] | None:
     """(mean, projection): code bits are the signs of (x - mean) @ projection."""
-    moments = _sum_over(vectors, dim, lambda x: np.concatenate([np.append(1.0, x.sum(0)), (x.T @ x).ravel()]), np.zeros(1 + dim + dim * dim))
+    moments = _sum_over(vectors, dim, lambda x: np.concatenate([np.append(len(x), x.sum(0)), (x.T @ x).ravel()]), np.zeros(1 + dim + dim * dim))
     n = moments[0]
     if not n:
         return None

@@ -9,9 +9,9 @@ Scoring reads every document whole, in one map-only pass.
 Defined cases. Null or empty text: no features, the score is the bias alone.
 Null doc_id: scored like any other, but it can't be trained on. Repeated rows:
 each scored. A document labelled more than once counts as toxic if any label
-says so; null labels are ignored. No labels at all: every weight is zero, every
-score is one half by convention 0.0, and nothing is toxic. Columns
-beyond doc_id and text are carried through by ``drop_toxic`` and ignored else.
+says so; null labels are ignored. No labels at all: every score is 0 and nothing
+is toxic; toxic means score > threshold. Columns beyond doc_id and text are
+carried through by ``drop_toxic`` and ignored else.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ TRAIN_ROWS = 30_000
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.5
 NGRAM, SKIP = 2, 1
 THRESHOLD = 0.2
+UNTRAINED = float("-inf")  # the bias of a model without training rows
 
 
 def features(column: pa.Array, bits: int = BITS, ngram: int = NGRAM, skip: int = SKIP) -> tuple[np.ndarray, np.ndarray]:
@@ -99,17 +100,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
         )
 
     def fit(batches):
-        model = Ftrl()
+        model, seen = Ftrl(), 0
         for batch in batches:
+            seen += batch.num_rows
             for toxic, blob in zip(K.column_of(batch, "toxic").to_pylist(), K.column_of(batch, "feats"), strict=True):
                 model.learn(np.frombuffer(blob.as_py(), np.uint32), int(toxic > 0))
-        at, w, bias = model.sparse()
+        at, w, bias = model.sparse() if seen else (np.zeros(0, np.uint32), np.zeros(0, np.float32), UNTRAINED)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (at.tobytes(), w.tobytes(), np.float64(bias).tobytes())], ["at", "w", "bias"])
 
     ready = training_sample(docs, labels, rows).mapInArrow(K.by_chunk(prepare), "h long, toxic int, feats binary")
     one = ready.repartition(1).sortWithinPartitions("h").mapInArrow(fit, "at binary, w binary, bias binary").first()
     if one is None:
-        return np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0
+        return np.zeros(0, np.uint32), np.zeros(0, np.float32), UNTRAINED
     return np.frombuffer(one["at"], np.uint32), np.frombuffer(one["w"], np.float32), float(np.frombuffer(one["bias"])[0])
 
 
@@ -118,7 +120,7 @@ def chunk_scores(column: pa.Array, weights: np.ndarray, bias: float, bits: int =
     hit = np.flatnonzero(weights[feat] != 0)
     doc, feat, _ = K.distinct_pairs(doc[hit], feat[hit])
     total = np.bincount(doc, weights[feat].astype(np.float64), len(column)) + bias
-    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+    return np.where(total == UNTRAINED, 0.0, 1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
 def _scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS):
