@@ -110,12 +110,10 @@ def resolve(base: Column | str, href: Column | str) -> Column:
     origin = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(b, "^([^?#]*)", 1)
     folder = F.when(F.length(path) > F.length(origin), F.regexp_replace(path, "[^/]*$", "")).otherwise(F.concat(path, F.lit("/")))
-    rel = F.concat(folder, h)
-    # Dot segments of relative links.
-    plain = rel
+    # Dot segments of relative links, four levels up at most.
+    plain = F.regexp_replace(F.concat(folder, h), r"/\.(?=/|$)", "")
     for _ in range(4):
-        plain = F.regexp_replace(plain, r"(?<=[^/:])/(?!\.\./)[^/?#]+/\.\.(/|$)", "/")
-    plain = F.regexp_replace(plain, r"/\.(/|$)", "/")
+        plain = F.regexp_replace(plain, r"(?<=[^/:])/(?!\.\./)[^/?#]+/\.\.(?=/|$)", "")
     return (
         F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
