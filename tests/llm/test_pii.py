@@ -70,6 +70,13 @@ def test_private_addresses_stay_private():
         assert pii._ip_class(int.from_bytes(bytes(map(int, out.split("."))), "big")) == kind
 
 
+def test_neighbouring_entities():
+    text = "+1 (269) 555-3296 4524132264652876 555-123-4567 4111-1111-1111-1111 3782 822463 10005 8.8.8.8"
+    out, n = R.text(text)
+    assert n == 6
+    assert not set(text.split()) & set(out.split()) - {"+1"}
+
+
 def test_clean_text_stays():
     for text in ("", "plain words only", "Version 2.0 of 2024-01-15, page 12", "Mr and Mrs", "a" * 100_000, "1.2.3.4.5", "Dr. who"):
         assert R.text(text) == (text, 0)
