@@ -24,7 +24,8 @@ POSTAL = r"(?i)\b(?:[0-9]{4,6}(?:-[0-9]{3,4})?|[A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-
 ZIP = r"\b[0-9]{5}(?:-[0-9]{4})?\b"
 STATE = rf"(?iU)\b({'|'.join(STATES)})\b"
 STREET = r"(?i)\b(" + "|".join(["suite", "unit", "way", *(f"{a}|{b}[.]?" for a, b in (("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("lane", "ln"), ("road", "rd"), ("street", "st")))]) + r")\b"
-LABEL = r"^([A-Za-z][A-Za-z /_.-]{1,35})\s*[:=]\s*(.+)$"
+_LABELLED = r"\p{Alpha}[\p{Alpha} ./_-]{1,35}?"
+LABEL = rf"^({_LABELLED})\s*(?:=|:)\s*(.+)$"
 
 
 def first_match(c: Column | str, pattern: str, group: int = 0) -> Column:
@@ -91,11 +92,11 @@ def address_parts(address: Column | str, name: Column | str, state: Column | str
 def record_start(c: Column | str, accept: Sequence[str], reject: Sequence[str]) -> Column:
     """Whether a line of text looks like the start of a record (TXT2)."""
     line = clean_record(c)
-    title = r"^[A-Z0-9][A-Za-z0-9 &'().,/+-]{2,120}$"
+    title = r"^[\p{Upper}0-9][\p{Alnum} +,./&'()-]{2,120}$"
     words = F.size(F.split(line, " "))
     named = line.rlike(title) & (words <= 10) & ~line.rlike(r"\p{Nd}")
     hit = (F.size(terms_in(line, reject)) > 0) | (F.size(terms_in(line, accept)) > 0)
-    return (line != "") & (F.length(line) <= 160) & ~line.rlike(r"^[A-Za-z][A-Za-z /_.-]{1,35}\s*[:=]") & (hit | named)
+    return (line != "") & (F.length(line) <= 160) & ~line.rlike(rf"^{_LABELLED}\s*(?:=|:)") & (hit | named)
 
 
 def links(html: Column | str) -> Column:

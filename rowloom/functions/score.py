@@ -13,6 +13,10 @@ from .extract import terms_in
 from .text import any_of, col, present, text, url_host
 
 
+#: Fields that a record can be reached or traced by.
+REACH = "email phone website sourceUrl".split()
+
+
 def confidence(name: Column | str, address: Column | str, phone: Column | str, email: Column | str, website: Column | str, source_url: Column | str, lat: Column | str, lng: Column | str) -> Column:
     """0.30 to 0.95 by what is known of a record (SC1). The sum runs left to right in doubles:
     the order shows in the last digit."""
@@ -33,12 +37,12 @@ def import_score(fields: dict[str, Column | str], accept: Sequence[str] = vocab.
     whole source row, is searched for reject terms, so a street name can reject
     a row; without it only name and services are.
     """
-    f = {k: text(fields.get(k, F.lit(""))) for k in ("name", "services", "evidence", "address", "phone", "email", "website", "sourceUrl", "lat", "lng")}
+    f = {k: text(fields.get(k, F.lit(""))) for k in "name services evidence lat lng address email phone website sourceUrl".split()}
     searched = [f["name"], f["services"]] + ([f["evidence"]] if strict_parity else [])
     rejects = terms_in(F.concat_ws(" ", *searched), reject)
     by = {k: terms_in(f[k], accept) for k in ("services", "name", "evidence")}
     place = present(f["address"]) | (present(f["lat"]) & present(f["lng"]))
-    contact = any_of([present(f[k]) for k in ("phone", "email", "website", "sourceUrl")])
+    contact = any_of([present(f[k]) for k in REACH])
     points = [(F.size(by["services"]) > 0, 6), (F.size(by["name"]) > 0, 4), (F.size(by["evidence"]) > 0, 2), (place, 1), (contact, 1)]
     score = reduce(lambda a, b: a + b, [F.when(c, n).otherwise(0) for c, n in points])
 
@@ -49,7 +53,7 @@ def import_score(fields: dict[str, Column | str], accept: Sequence[str] = vocab.
         return F.array_compact(F.array(F.when(condition, F.lit(words))))
 
     reasons = F.concat(named("services", "service", 5), named("name", "name", 3), named("evidence", "evidence", 3), note(place, "location evidence"), note(contact, "contact/source evidence"))
-    bare = ~any_of([present(f[k]) for k in ("address", "phone", "email", "website", "sourceUrl", "lat")])
+    bare = ~any_of([present(f[k]) for k in (*REACH, "address", "lat")])
     rejection = F.when(~present(f["name"]), "missing name").when(bare, "missing location/contact/source evidence").otherwise("below min score")
     out = F.size(rejects) > 0
     return F.struct(

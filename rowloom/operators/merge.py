@@ -17,7 +17,11 @@ FILL_TEXT = ["country", "city", "region", "postal_code", "address", "phone", "we
 FILL_NUMBER = ["latitude", "longitude"]
 #: Staging fields that the first row of a key settles for good.
 FIRST = ["name", "normalized_name", "category", "status"]
-VALUE_FIELDS = ["name", "normalized_name", "country_code", "country", "city", "region", "postal_code", "category", "address", "phone", "website", "latitude", "longitude", "confidence_score", "dedupe_key", "source_query", "crawl_run_key"]
+VALUE_FIELDS = "name normalized_name country_code country city region postal_code category address phone website latitude longitude confidence_score dedupe_key source_query crawl_run_key".split()
+#: What tells one crawled record from another.
+IDENTITY = "name address city region postalCode country phone website".split()
+#: What a record must have one of.
+EVIDENCE = "lat lng address city state region country postalCode email phone website sourceUrl".split()
 
 
 def first_wins(df: DataFrame, keys: Sequence[Column], order: Sequence[Column]) -> DataFrame:
@@ -61,8 +65,8 @@ def value_records(items: DataFrame) -> DataFrame:
     made = {
         "name": N.clean(get("name")), "normalized_name": N.normalized_name(N.clean(get("name"))), "country_code": place["code"], "country": place["name"],
         "city": N.clean(get("city")), "region": N.clean(region), "postal_code": N.clean(get("postalCode", "postal_code")),
-        "category": N.default(N.clean(get("services")), "healthcare provider"), "address": address, "phone": phone, "website": website,
-        "latitude": N.number(lat), "longitude": N.number(lng),
+        "website": website, "phone": phone, "address": address, "longitude": N.number(lng), "latitude": N.number(lat),
+        "category": N.default(N.clean(get("services")), "healthcare provider"),
         "confidence_score": confidence(get("name"), address, get("phone"), get("email"), get("website"), get("sourceUrl"), lat, lng),
         "dedupe_key": N.dedupe_key(get("sourceUrl"), phone, website, get("name"), address), "source_query": tag, "crawl_run_key": N.clean(get("crawlRunKey")),
         "source": kind, "source_url": N.clean(get("sourceUrl")), "raw": raw, "bad_number": N.bad_number(lat) | N.bad_number(lng),
@@ -80,17 +84,16 @@ def clean_items(items: DataFrame, source_tag: str = "scrapy_directory", source_t
     """
     from ..functions.score import drop_reason
 
-    names = ["type", "name", "address", "address1", "address2", "city", "state", "region", "postalCode", "country", "phone", "email", "website", "sourceUrl", "lat", "lng"]
-    df = items.withColumns({n: F.lit(None).cast("string") for n in names if n not in items.columns})
+    names = {"type", "address1", "address2", *IDENTITY, *EVIDENCE}
+    df = items.withColumns({n: F.lit(None).cast("string") for n in sorted(names) if n not in items.columns})
     df = df.withColumns({c: N.clean_list(c, N.clean) for c, t in df.dtypes if t == "array<string>"})
     df = df.withColumns({c: F.when(F.col(c).isNotNull(), N.clean(c)) for c, t in df.dtypes if t == "string"})
     df = df.withColumn("address", F.coalesce(N.first_present("address"), N.first_present(F.trim(F.concat_ws(" ", N.first_present("address1"), N.first_present("address2")))), F.col("address")))
     df = df.withColumn("state", F.coalesce(N.first_present("state"), N.first_present("region"))).withColumn("region", F.coalesce(N.first_present("region"), F.col("state")))
     for name, value in (("sourceTag", source_tag), ("sourceType", source_type), ("internalStatus", "candidate"), ("crawlRunKey", run_key)):
         df = df.withColumn(name, F.coalesce(F.col(name) if name in df.columns else F.lit(None).cast("string"), F.lit(value)))
-    evidence = ["address", "city", "state", "region", "postalCode", "country", "phone", "email", "website", "sourceUrl", "lat", "lng"]
-    df = df.withColumn("drop_reason", drop_reason("type", "name", evidence))
-    own = N.fingerprint("name", "address", "city", "region", "postalCode", "country", "phone", "website")
+    df = df.withColumn("drop_reason", drop_reason("type", "name", EVIDENCE))
+    own = N.fingerprint(*IDENTITY)
     return df.withColumn("evidenceUrl", N.first_present("sourceUrl")).withColumn("sourceUrl", own)
 
 
@@ -130,33 +133,36 @@ def staging_upsert(incoming: DataFrame, existing: DataFrame | None = None, seq:
 
 #: What an app column may be called, and the value that it gets.
 APP_ALIASES: list[tuple[list[str], str]] = [
-    (["name", "provider_name", "clinic_name", "title"], "name"),
-    (["normalized_name", "normalized_provider_name", "search_name"], "normalized_name"),
-    (["source_kind"], "source"),
-    (["source_label"], "source_query"),
-    (["address", "full_address", "street_address"], "address"),
-    (["city", "locality"], "city"),
-    (["admin_area", "state", "region", "province", "administrative_area"], "region"),
-    (["postal_code", "postalCode", "zip", "zipcode"], "postal_code"),
-    (["country", "country_name"], "country"),
-    (["country_code", "countryCode"], "country_code"),
-    (["phone", "phone_number"], "phone"),
-    (["website", "url"], "website"),
-    (["source_url"], "source_url"),
-    (["latitude", "lat"], "latitude"),
-    (["longitude", "lng", "lon"], "longitude"),
-    (["clinic_type", "category", "provider_category", "primary_category", "service_line", "service_type"], "category"),
-    (["services"], "category[]"),
-    (["categories"], "category[]"),
-    (["dedupe_key", "external_key", "provider_key"], "dedupe_key"),
-    (["source", "data_source", "created_by"], "source"),
-    (["source_query", "query"], "source_query"),
-    (["confidence_score", "confidence"], "confidence_score"),
-    (["raw_source_data", "raw", "raw_data", "metadata"], "raw"),
+    (names.split(), value)
+    for value, names in (
+        ("name", "name provider_name clinic_name title"),
+        ("normalized_name", "normalized_name normalized_provider_name search_name"),
+        ("source", "source_kind"),
+        ("source_query", "source_label"),
+        ("address", "address full_address street_address"),
+        ("city", "city locality"),
+        ("region", "admin_area state region province administrative_area"),
+        ("postal_code", "postal_code postalCode zip zipcode"),
+        ("country", "country country_name"),
+        ("country_code", "country_code countryCode"),
+        ("phone", "phone phone_number"),
+        ("website", "website url"),
+        ("source_url", "source_url"),
+        ("latitude", "latitude lat"),
+        ("longitude", "longitude lng lon"),
+        ("category", "clinic_type category provider_category primary_category service_line service_type"),
+        ("category[]", "services"),
+        ("category[]", "categories"),
+        ("dedupe_key", "dedupe_key external_key provider_key"),
+        ("source", "source data_source created_by"),
+        ("source_query", "source_query query"),
+        ("confidence_score", "confidence_score confidence"),
+        ("raw", "raw_source_data raw raw_data metadata"),
+    )
 ]
-MATCH_ORDER = ["dedupe_key", "external_key", "provider_key", "source_url", "phone", "phone_number", "website", "url"]
+MATCH_ORDER = "dedupe_key external_key provider_key source_url phone phone_number website url".split()
 HIGHEST = ("confidence_score", "confidence")
-_DEFAULTS = {"source_kind": "provider_feeder", "source_label": "Provider feeder"}
+_DEFAULTS = {"source_kind": "record_feed", "source_label": "Record feed"}
 
 
 def app_values(values: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,9 +14,9 @@ from ..functions import vocab
 from ..functions.score import accepted, import_score
 from .merge import import_dedupe
 
-ROW_FIELDS = ["name", "address", "city", "state", "postalCode", "phone", "email", "website", "services", "sourceType", "sourceTag", "sourceUrl", "lat", "lng", "evidenceNote"]
+ROW_FIELDS = "name address city state postalCode phone email website services sourceType sourceTag sourceUrl lat lng evidenceNote".split()
 ACCEPTED_COLUMNS = [*ROW_FIELDS[:-1], "score", "match_reasons"]
-REJECTED_COLUMNS = ["name", "address", "city", "state", "postalCode", "phone", "website", "services", "sourceUrl", "score", "rejection_reason", "evidenceNote"]
+REJECTED_COLUMNS = "name address city state postalCode phone website services sourceUrl score rejection_reason evidenceNote".split()
 
 
 def _norm(name: str) -> str:
@@ -156,7 +156,7 @@ def text_blocks(texts: DataFrame, accept: Sequence[str] = vocab.ACCEPT_TERMS, re
 
 def score_rows(rows: DataFrame, min_score: float = 5, accept: Sequence[str] = vocab.ACCEPT_TERMS, reject: Sequence[str] = vocab.REJECT_TERMS, strict_parity: bool = True) -> DataFrame:
     """rows with score, reasons, match_reasons, rejection and accepted, without repeats (SC2, D1, F2)."""
-    fields = {k: k for k in ("name", "services", "address", "phone", "email", "website", "sourceUrl", "lat", "lng")} | {"evidence": "evidenceNote"}
+    fields = {k: k for k in "name services lat lng address email phone website sourceUrl".split()} | {"evidence": "evidenceNote"}
     s = import_score({k: F.col(v) for k, v in fields.items()}, accept, reject, strict_parity)
     scored = rows.withColumn("__s", s).withColumns({"score": F.col("__s.score"), "reasons": F.col("__s.reasons"), "rejection_reason": F.col("__s.rejection")}).drop("__s")
     scored = scored.withColumn("match_reasons", F.array_join("reasons", "; ")).withColumn("accepted", accepted(F.col("score"), F.col("rejection_reason"), min_score))
@@ -206,7 +206,7 @@ def registry_seeds(registry: DataFrame, countries: Sequence[str] = (), mode: str
     if mode not in ("all", "any"):
         ok &= row_mode == mode
     if not N.truthy(include_disabled):
-        ok &= ~F.lower(N.clean("enabled")).isin("0", "false", "no", "off")
+        ok &= ~F.lower(N.clean("enabled")).isin("0 no off false".split())
     tag = F.coalesce(N.first_present(N.clean("sourceTag")), F.concat(F.lit("gov_health_"), F.regexp_replace(F.lower(country), " ", "-")))
     return registry.where(ok).orderBy(*order).limit(max(1, max_sources)).select(url.alias("url"), country.alias("country"), tag.alias("source_tag"))
 
@@ -219,7 +219,7 @@ def discovery_sources(registry: DataFrame, countries: Sequence[str] = (), includ
     if wanted:
         ok &= F.lower(country).isin(wanted)
     elif not include_disabled:
-        ok &= ~F.lower(F.trim(F.coalesce("enabled", F.lit("true")))).isin("0", "false", "no", "n", "off")
+        ok &= ~F.lower(F.trim(F.coalesce("enabled", F.lit("true")))).isin("0 n no off false".split())
     tag = F.trim(F.coalesce(N.first_present("sourceTag"), N.slug(country)))
     mode = F.trim(N.default("crawlMode", "authority_discovery"))
     return registry.where(ok).select(country.alias("country"), tag.alias("sourceTag"), url.alias("url"), mode.alias("crawlMode"), F.trim(N.text("notes")).alias("notes"))

@@ -62,7 +62,7 @@ def warnings(app_write: bool, app_table: bool, current_since_start: DataFrame, s
 
 def dashboard_totals(raw: DataFrame, staging: DataFrame, app: DataFrame | None, since: DataFrame) -> DataFrame:
     """One row with the totals of the three tables and of what came in since the start."""
-    parts = [count_all(raw, "raw_results"), count_all(staging, "feeder_staging"), since.select(F.col("n").alias("current_raw_since_start"))]
+    parts = [count_all(raw, "raw_results"), count_all(staging, "staging_rows"), since.select(F.col("n").alias("current_raw_since_start"))]
     parts.append(count_all(app, "app_candidates") if app is not None else raw.sparkSession.range(1).select(F.lit(0).cast("long").alias("app_candidates")))
     out = parts[0]
     for p in parts[1:]:

@@ -16,6 +16,9 @@ from ..sources import pages as P
 from .session import read, shared_folder
 from .views import EVENT_VALUES_SQL, SUPPLIERS_SQL, event_values, suppliers
 
+#: The parts of an address, in order.
+PLACE = "address city region postalCode country".split()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -148,12 +151,12 @@ def country_lookup(spark, sf_dir):
     return suppliers(spark, sf_dir).select("seq", c["code"].alias("code"), c["name"].alias("name"))
 
 
-_FULL = _address("address", "city", "region", "postalCode", "country")
+_FULL = _address(*PLACE)
 
 
 @query(f"WITH s AS ({SUPPLIERS_SQL}) SELECT seq, {_FULL} AS full_address FROM s")
 def full_address_build(spark, sf_dir):
-    return suppliers(spark, sf_dir).select("seq", N.full_address("address", "city", "region", "postalCode", "country").alias("full_address"))
+    return suppliers(spark, sf_dir).select("seq", N.full_address(*PLACE).alias("full_address"))
 
 
 def _has(*xs: str) -> str:
@@ -167,8 +170,8 @@ _CONF = f"""least(0.30::DOUBLE + (CASE WHEN {_has('name')} THEN 0.20 ELSE 0 END)
 
 @query(f"WITH s AS ({SUPPLIERS_SQL}) SELECT seq, {_CONF} AS confidence FROM s")
 def confidence_score(spark, sf_dir):
-    full = N.full_address("address", "city", "region", "postalCode", "country")
-    return suppliers(spark, sf_dir).select("seq", S.confidence("name", full, "phone", F.lit(""), "website", "sourceUrl", "lat", "lng").alias("confidence"))
+    full = N.full_address(*PLACE)
+    return suppliers(spark, sf_dir).select("seq", S.confidence("name", full, "phone", F.lit(""), *"website sourceUrl lat lng".split()).alias("confidence"))
 
 
 _VALUES_SQL = f"""WITH s AS ({SUPPLIERS_SQL}) SELECT seq, {_clean('name')} AS name, {_norm('name')} AS normalized_name, {_CC} AS country_code, {_CN} AS country,
@@ -186,7 +189,7 @@ def value_records(spark, sf_dir):
 
 
 @query(f"""WITH s AS ({SUPPLIERS_SQL}) SELECT seq, CASE WHEN seq % 23 = 0 THEN 'discovered_link' WHEN {_clean('name')} = '' THEN 'missing_name'
-  WHEN NOT ({_has('address', 'phone', 'website', 'sourceUrl')} OR {_has('city', 'region', 'postalCode', 'country', 'lat', 'lng')}) THEN 'missing_evidence' END AS drop_reason,
+  WHEN NOT ({_has('sourceUrl', 'website', 'phone')} OR {_has('lat', 'lng', *PLACE)}) THEN 'missing_evidence' END AS drop_reason,
   'provider-fingerprint://' || sha256(lower({_clean('name')}) || '|' || lower({_clean('address')}) || '|' || lower({_clean('city')}) || '|' || lower({_clean('region')}) || '|' || lower({_clean('postalCode')})
     || '|' || lower({_clean('country')}) || '|' || lower({_clean('phone')}) || '|' || lower({_clean('website')})) AS fingerprint, nullif(sourceUrl, '') AS evidence_url
 FROM s""")
@@ -283,9 +286,9 @@ def derive_address_parts(spark, sf_dir):
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 c AS (SELECT doc_id, n, trim(trim(regexp_replace(line, '[\\s\\x{a0}•]+', ' ', 'g')), ' ,;|') AS line FROM l),
-f AS (SELECT *, (length(line) <= 160 AND NOT regexp_matches(line, '^[A-Za-z][A-Za-z /_.-]{1,35}\\s*[:=]')
+f AS (SELECT *, (length(line) <= 160 AND NOT regexp_matches(line, '^[[:alpha:]][[:alpha:] ./_-]{1,35}\\s*(?:=|:)')
   AND (regexp_matches(lower(line), '(^|[^a-z0-9])the($|[^a-z0-9])') OR regexp_matches(lower(line), '(^|[^a-z0-9])der($|[^a-z0-9])')
-    OR (regexp_matches(line, '^[A-Z0-9][A-Za-z0-9 &''().,/+-]{2,120}$') AND len(string_split(line, ' ')) <= 10 AND NOT regexp_matches(line, '[0-9]'))))::INT AS start FROM c WHERE line != ''),
+    OR (regexp_matches(line, '^[[:upper:][:digit:]][[:alnum:] +,./&''()-]{2,120}$') AND len(string_split(line, ' ')) <= 10 AND NOT regexp_matches(line, '[0-9]'))))::INT AS start FROM c WHERE line != ''),
 r AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY n) - first_value(start) OVER (PARTITION BY doc_id ORDER BY n) AS rec FROM f)
 SELECT doc_id, rec::INT AS position, count(*)::BIGINT AS n_lines, length(string_agg(line, chr(10) ORDER BY n))::BIGINT AS chars FROM r GROUP BY 1, 2""")
 def text_line_islands(spark, sf_dir):
@@ -540,7 +543,7 @@ def latest_resumable_run(spark, sf_dir):
     return frontier.latest_resumable(runs).select("user_id", "event_type", "value", "status")
 
 
-@query("""SELECT (SELECT count(*) FROM events)::BIGINT AS raw_results, (SELECT count(*) FROM orders)::BIGINT AS feeder_staging,
+@query("""SELECT (SELECT count(*) FROM events)::BIGINT AS raw_results, (SELECT count(*) FROM orders)::BIGINT AS staging_rows,
   (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type IN ('click', 'view'))::BIGINT AS current_raw_since_start, (SELECT count(*) FROM customer)::BIGINT AS app_candidates""")
 def dashboard_totals(spark, sf_dir):
     e, o, c = (read(spark, sf_dir, t) for t in ("events", "orders", "customer"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from .markup import Node, css, parse, select, xpath
 
-FIELDS = ["name", "address", "city", "region", "postalCode", "country", "phone", "email", "website", "services", "sourceUrl", "lat", "lng", "evidenceNote"]
+FIELDS = "name address city region postalCode country phone email website services sourceUrl lat lng evidenceNote".split()
 SCHEMA = ", ".join(["page_url string", "position int", *(f"{f} string" for f in FIELDS)])
 MAX_NODES, MIN_TEXT, MAX_TEXT, MAX_NAME = 1500, 12, 2500, 180
 CARD_SELECTORS = [
@@ -31,21 +31,23 @@ CARD_SELECTORS = [
 _D, _S = "[0-9]", r"[\s.\-]?"
 PHONE = re.compile(rf"(?:\+?\d{{1,3}}[\s().\-]?)?(?:\(?\d{{2,4}}\)?{_S})?\d{{3,4}}{_S}\d{{3,4}}")
 EMAIL = re.compile(r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}", re.I | re.A)
-POSTAL = re.compile(r"\b(?:[0-9]{4,6}(?:-[0-9]{3,4})?|[A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-9]|[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2})\b", re.I)
+_POSTAL_FORMS = ["[0-9]{4,6}(?:-[0-9]{3,4})?", "[A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-9]", "[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}"]
+POSTAL = re.compile(rf"(?i)\b(?:{'|'.join(_POSTAL_FORMS)})\b")
 STREET = re.compile(r"\b(suite|unit|way|" + "|".join(rf"{a}|{b}\.?" for a, b in (("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("lane", "ln"), ("road", "rd"), ("street", "st"))) + r")\b", re.I)
 
 
 def tidy(value: object) -> str:
     """Collapsed text of a value; lists join by '; ', mappings' values by ', '."""
-    if isinstance(value, list):
-        return "; ".join(x for x in map(tidy, value) if x)
-    if isinstance(value, dict):
-        return ", ".join(x for x in map(tidy, value.values()) if x)
-    return " ".join(str(value or "").split()).strip(" ,;|")
+    for kind, glue in ((list, "; "), (dict, ", ")):
+        if isinstance(value, kind):
+            parts = value.values() if kind is dict else value
+            return glue.join(filter(None, map(tidy, parts)))
+    words = str(value or "").split()
+    return " ".join(words).strip(",;| ")
 
 
 def address_in(text: str) -> str:
-    for chunk in map(tidy, re.split(r"[|•\n]", text)):
+    for chunk in map(tidy, re.split("\n|•|[|]", text)):
         if 8 <= len(chunk) <= 260 and any(map(str.isdigit, chunk)) and (POSTAL.search(chunk) or STREET.search(chunk)):
             return chunk
     return ""
@@ -60,6 +62,10 @@ def _terms(low: str, terms: Iterable[str]) -> list[str]:
     return [t for t in terms if t in low]
 
 
+def _record(**known: str) -> dict[str, str]:
+    return {f: known.get(f, "") for f in FIELDS}
+
+
 def _kinds(thing: Mapping) -> set[str]:
     kind = thing.get("@type") or thing.get("type") or []
     return {kind} if isinstance(kind, str) else set(map(str, kind)) if isinstance(kind, list) else set()
@@ -80,7 +86,7 @@ def structured_rows(page: Node, url: str, country: str, terms: list[str], types:
                 continue
             if isinstance(thing.get("@graph"), list):
                 queue += thing["@graph"]
-            for part in ("department", "subOrganization", "member", "itemListElement"):
+            for part in "department subOrganization member itemListElement".split():
                 below = thing.get(part)
                 queue += below if isinstance(below, list) else [below] if isinstance(below, dict) else []
             kinds = _kinds(thing)
@@ -94,13 +100,13 @@ def structured_rows(page: Node, url: str, country: str, terms: list[str], types:
             listed = not isinstance(where, dict)
             part = (lambda key: "") if listed else (lambda key, w=where: tidy(w.get(key)))
             spot = geo if isinstance(geo, dict) else {}
-            yield {
-                "name": name, "address": tidy(where) if listed else part("streetAddress"), "city": part("addressLocality"), "region": part("addressRegion"),
-                "postalCode": part("postalCode"), "country": tidy(country) if listed else part("addressCountry"), "phone": tidy(thing.get("telephone")),
-                "email": tidy(thing.get("email")), "website": tidy(thing.get("url")), "lat": tidy(spot.get("latitude")), "lng": tidy(spot.get("longitude")),
-                # The set of types has no order of its own: it is listed alphabetically.
-                "services": tidy(thing.get("medicalSpecialty") or thing.get("description") or sorted(kinds)), "evidenceNote": "json-ld",
-            }
+            # The set of types has no order of its own: it is listed alphabetically.
+            yield _record(
+                name=name, evidenceNote="json-ld", services=tidy(thing.get("medicalSpecialty") or thing.get("description") or sorted(kinds)),
+                website=tidy(thing.get("url")), phone=tidy(thing.get("telephone")), email=tidy(thing.get("email")), lat=tidy(spot.get("latitude")), lng=tidy(spot.get("longitude")),
+                country=tidy(country) if listed else part("addressCountry"), region=part("addressRegion"), city=part("addressLocality"),
+                postalCode=part("postalCode"), address=tidy(where) if listed else part("streetAddress"),
+            )
 
 
 def _link(node: Node, start: str) -> str:
@@ -127,10 +133,8 @@ def card_rows(page: Node, url: str, country: str, terms: list[str]) -> Iterator[
             name = tidy(" ".join(heads)) or tidy((node.texts() or [""])[0])
             website, postal = _link(node, "http"), tidy(_found(POSTAL, text))
             if name and len(name) <= MAX_NAME and (address or phone or email or postal or website):
-                yield {
-                    "name": name, "address": address, "postalCode": postal, "country": country, "phone": phone, "email": email,
-                    "website": urljoin(url, website) if website else "", "services": "; ".join(hits)[:500], "evidenceNote": text[:1500],
-                }
+                site = urljoin(url, website) if website else ""
+                yield _record(name=name, services="; ".join(hits)[:500], evidenceNote=text[:1500], website=site, email=email, phone=phone, country=country, postalCode=postal, address=address)
 
 
 def page_row(page: Node, url: str, country: str, terms: list[str]) -> dict[str, str] | None:
@@ -145,10 +149,7 @@ def page_row(page: Node, url: str, country: str, terms: list[str]) -> dict[str,
     address = tidy(" ".join(t for n in select(page, "address") for t in n.texts())) or address_in(text)
     if not (address or phone or email or postal):
         return None
-    return {
-        "name": title[:MAX_NAME], "address": address, "postalCode": postal, "country": country, "phone": phone, "email": email,
-        "website": url, "services": "; ".join(hits)[:500], "evidenceNote": text[:1500],
-    }
+    return _record(name=title[:MAX_NAME], services="; ".join(hits)[:500], evidenceNote=text[:1500], website=url, email=email, phone=phone, country=country, postalCode=postal, address=address)
 
 
 def page_records(html: str | None, url: str, country: str = "", terms: list[str] | None = None, types: frozenset[str] = vocab.HEALTH_TYPES) -> list[dict[str, str]]:
@@ -160,10 +161,9 @@ def page_records(html: str | None, url: str, country: str = "", terms: list[str]
         rows = [alone]
     out: dict[tuple[str, ...], dict[str, str]] = {}
     for row in rows:
-        key = (row["name"].lower(), row["address"].lower(), re.sub(r"\D+", "", row["phone"]), row["website"].lower())
-        row["sourceUrl"] = row.get("sourceUrl") or url
-        row["country"] = row["country"] or country
-        out.setdefault(key, row)
+        digits = "".join(filter(str.isdecimal, row["phone"]))
+        key = (digits, *(row[f].lower() for f in ("name", "website", "address")))
+        out.setdefault(key, row | {"sourceUrl": url, "country": row["country"] or country})
     return list(out.values())
 
 
@@ -197,8 +197,8 @@ def by_rule(node: Node, rule: object) -> list[str]:
     if isinstance(rule, str):
         found = css(node, rule)
     else:
-        selector = rule.get("selector") or rule.get("css") or rule.get("xpath")
-        if not selector:
+        selector = next((rule[k] for k in ("selector", "css", "xpath") if rule.get(k)), None)
+        if selector is None:
             return []
         found = (xpath if rule.get("type") == "xpath" or rule.get("xpath") else css)(node, selector)
     return [x for x in (" ".join(v.split()) for v in found) if x]
@@ -208,7 +208,8 @@ def _one(node: Node, rule: object) -> str | None:
     found = by_rule(node, rule)
     if not found:
         return None
-    return str(rule["join"]).join(found) if isinstance(rule, dict) and rule.get("join") else found[0]
+    glue = None if isinstance(rule, str) else rule.get("join")
+    return str(glue).join(found) if glue else found[0]
 
 
 def _item(node: Node, url: str, config: Mapping, tag: str) -> dict[str, str]:

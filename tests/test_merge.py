@@ -7,7 +7,10 @@ from rowloom.operators import frontier, merge, reports
 from rowloom.operators.graph import components
 from rowloom.streaming import incremental
 
-ITEM = {"name": "Central Occupational Clinic", "address": "10 Main Street", "city": "Toronto", "region": "Ontario", "postalCode": "M5V 2T6", "country": "Canada", "phone": "+1 416 555 0100", "website": "example.com", "services": "occupational medicine", "sourceType": "pasted_url_scrape", "sourceTag": "canada_registry", "sourceUrl": "https://example.org/clinic"}
+ITEM = dict(
+    sourceType="pasted_url_scrape", sourceTag="canada_registry", sourceUrl="https://example.org/clinic", website="example.com", services="occupational medicine",
+    phone="+1 416 555 0100", name="Central Occupational Clinic", country="Canada", postalCode="M5V 2T6", region="Ontario", city="Toronto", address="10 Main Street",
+)
 APP = ["id", "normalized_name", "clinic_name", "status", "admin_area", "clinic_type", "services", "source_url", "source_kind", "source_label", "dedupe_key", "phone", "confidence"]
 
 
@@ -29,7 +32,7 @@ def test_value_record(spark):
 
 def test_fingerprints_tell_items_of_a_page_apart(spark):
     url = "https://example.org/list"
-    both = merge.clean_items(items(spark, {"name": "Alpha Medical Clinic", "address": "1 A St", "sourceUrl": url}, {"name": "Beta Urgent Care", "address": "2 B St", "sourceUrl": url})).collect()
+    both = merge.clean_items(items(spark, dict(sourceUrl=url, name="Alpha Medical Clinic", address="1 A St"), dict(sourceUrl=url, name="Beta Urgent Care", address="2 B St"))).collect()
     assert both[0]["sourceUrl"] != both[1]["sourceUrl"]
     assert both[0]["evidenceUrl"] == both[1]["evidenceUrl"] == url
 

@@ -14,7 +14,7 @@ def rows(html, country="Canada"):
 
 
 def test_structured_data(spark):
-    clinic = {"@type": "MedicalClinic", "name": "Northside Occupational Health", "address": {"@type": "PostalAddress", "streetAddress": "1 A St", "addressLocality": "Toronto", "addressCountry": "Canada"}}
+    clinic = {"address": dict(addressCountry="Canada", addressLocality="Toronto", streetAddress="1 A St"), "name": "Northside Occupational Health", "@type": "MedicalClinic"}
     df = spark.createDataFrame([("https://e.org/p", ld(clinic, "{broken"), "Canada"), ("https://e.org/q", None, None)], "url string, html string, country string")
     (row,) = P.extract_records(df, run_key="test-run").collect()
     assert (row["name"], row["country"], row["crawlRunKey"], row["type"], row["city"]) == ("Northside Occupational Health", "Canada", "test-run", "provider_candidate", "Toronto")
@@ -33,7 +33,7 @@ def test_structured_shapes():
 
 
 def test_card():
-    html = '<html><body><div class="clinic-location"><h3>Central Medical Clinic</h3><address>10 Main Street, Toronto</address><a href="tel:4165550100">Call</a><a href="/central">More</a></div></body></html>'
+    html = '<section id="s" class="clinic-location"><address>10 Main Street, Toronto</address> <h3>Central Medical Clinic</h3> <a href="/central">More</a> <a href="tel:4165550100">Call</a>'
     (row,) = rows(html)
     assert (row["name"], row["phone"], row["address"]) == ("Central Medical Clinic", "4165550100", "10 Main Street, Toronto")
 

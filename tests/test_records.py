@@ -55,7 +55,7 @@ def test_text_without_blank_lines(spark, tmp_path):
 
 def test_csv_aliases(spark, tmp_path):
     path = tmp_path / "in.csv"
-    path.write_text('﻿provider_name,provider_type,specialty,category,address,phone\nTest Medical,Medical clinic,Primary care,Clinic,"10 Main St, Mobile, AL 36602",2515551212\n')
+    path.write_text('﻿phone,address,category,specialty,provider_type,provider_name\n2515551212,"10 Main St, Mobile, AL 36602",Clinic,Primary care,Medical clinic,Test Medical\n')
     accepted, _, _ = files.import_file(spark, str(path))
     (row,) = accepted.collect()
     assert (row["name"], row["services"], row["score"]) == ("Test Medical", "Clinic; Primary care; Medical clinic", 10)

@@ -104,21 +104,22 @@ def test_whole_words(spark):
     ],
 )
 def test_confidence(spark, fields, expected):
-    names = ["name", "address", "phone", "email", "website", "sourceUrl", "lat", "lng"]
+    names = "name address phone email website sourceUrl lat lng".split()
     cols = [F.lit({"name": "n"}.get(n) or fields.get(n)).cast("string") for n in names]
     assert spark.range(1).select(S.confidence(*cols).alias("c")).first()["c"] == expected
 
 
+ORG = "https://example.org"
 LINKS = [
-    ("https://example.org/locations", "https://example.org/locations?page=2", "Next", 17),
-    ("https://example.org/locations", "https://example.org/providers/abc", "Doctor profile", 9),
-    ("https://example.org/a", "https://sub.example.org/locations", "x", 7),
-    ("https://example.org/a", "https://example.org/express-clinic", "x", -100),
-    ("https://example.org/a", "https://example.org/about", "x", -1),
-    ("https://sub.example.org/a", "https://example.org/clinic", "x", -100),
-    ("https://example.org/a", "https://facebook.com/e", "Facebook", -100),
-    ("https://example.org/a", "ftp://example.org/clinic", "x", -100),
-    ("https://example.org/a", None, None, -100),
+    (f"{ORG}/locations", f"{ORG}/locations?page=2", "Next", 17),
+    (f"{ORG}/locations", f"{ORG}/providers/abc", "Doctor profile", 9),
+    (f"{ORG}/a", "https://sub.example.org/locations", "x", 7),
+    (f"{ORG}/a", f"{ORG}/express-clinic", "x", -100),
+    (f"{ORG}/a", f"{ORG}/about", "x", -1),
+    ("https://sub.example.org/a", f"{ORG}/clinic", "x", -100),
+    (f"{ORG}/a", "https://facebook.com/e", "Facebook", -100),
+    (f"{ORG}/a", "ftp://example.org/clinic", "x", -100),
+    (f"{ORG}/a", None, None, -100),
 ]
 
 
