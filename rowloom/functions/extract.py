@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -37,16 +36,23 @@ def all_matches(c: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text(c), F.lit(pattern), F.lit(group))
 
 
-def whole_word(term: str) -> str:
-    """A pattern for a term between other than a-z and 0-9, without lookaround."""
-    return f"(^|[^a-z0-9]){re.escape(term).replace(chr(92) + ' ', ' ')}($|[^a-z0-9])"
+def terms_in(c: Column | str, terms: Sequence[str]) -> Column:
+    """The terms that stand in the text as whole words, in the vocabulary's order.
 
+    A word ends where no a-z or 0-9 follows. One expression whatever the number
+    of terms, so it compiles fast; the plain search seldom succeeds, and only
+    then the pattern is tried.
+    """
+    if not terms:
+        return F.array().cast("array<string>")
+    listed = F.array(*[F.lit(t) for t in terms])
+    edge = "[^a-z0-9]"
 
-def terms_in(c: Column | str, terms: Sequence[str]) -> Column:
-    """The terms that stand in the text as whole words, in the vocabulary's order."""
-    low = F.lower(text(c))
-    hits = [F.when(low.rlike(whole_word(t)), F.lit(t)) for t in terms]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    def hit(low: Column, t: Column) -> Column:
+        return low.contains(t) & F.rlike(low, F.concat(F.lit(f"(^|{edge})\\Q"), t, F.lit(f"\\E($|{edge})")))
+
+    found = F.transform(F.array(F.lower(text(c))), lambda low: F.filter(listed, lambda t: hit(low, t)))
+    return F.element_at(found, 1)
 
 
 def substrings_in(c: Column | str, terms: Sequence[str]) -> Column:
@@ -89,9 +95,9 @@ def address_parts(address: Column | str, name: Column | str, state: Column | str
     )
 
 
-def record_start(c: Column | str, accept: Sequence[str], reject: Sequence[str]) -> Column:
-    """Whether a line of text looks like the start of a record (TXT2)."""
-    line = clean_record(c)
+def record_start(line: Column | str, accept: Sequence[str], reject: Sequence[str]) -> Column:
+    """Whether a line, clean already (``clean_record``), looks like the start of a record (TXT2)."""
+    line = text(line)
     title = r"^[\p{Upper}0-9][\p{Alnum} +,./&'()-]{2,120}$"
     words = F.size(F.split(line, " "))
     named = line.rlike(title) & (words <= 10) & ~line.rlike(r"\p{Nd}")

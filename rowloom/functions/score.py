@@ -29,18 +29,24 @@ def confidence(name: Column | str, address: Column | str, phone: Column | str, e
     return F.least(total + part(present(lat) & present(lng), 0.10), F.lit(0.95))
 
 
-def import_score(fields: dict[str, Column | str], accept: Sequence[str] = vocab.ACCEPT_TERMS, reject: Sequence[str] = vocab.REJECT_TERMS, strict_parity: bool = True) -> Column:
+def import_hits(low: dict[str, Column], accept: Sequence[str], reject: Sequence[str], strict_parity: bool = True) -> dict[str, Column]:
+    """The reject terms, and the accept terms of each field, in lower-case name, services and evidence."""
+    searched = [low["name"], low["services"]] + ([low["evidence"]] if strict_parity else [])
+    return {"rejects": terms_in(F.concat_ws(" ", *searched), reject)} | {k: terms_in(low[k], accept) for k in ("services", "name", "evidence")}
+
+
+def import_score(fields: dict[str, Column | str], accept: Sequence[str] = vocab.ACCEPT_TERMS, reject: Sequence[str] = vocab.REJECT_TERMS, strict_parity: bool = True, hits: dict[str, Column] | None = None) -> Column:
     """struct(score, reasons, rejection) of an imported row (SC2).
 
     fields: name, services, evidence, address, phone, email, website, sourceUrl,
     lat, lng; missing ones count as blank. With strict_parity the evidence, the
     whole source row, is searched for reject terms, so a street name can reject
-    a row; without it only name and services are.
+    a row; without it only name and services are. hits: the terms found, see
+    ``import_hits``, if they have been computed already.
     """
     f = {k: text(fields.get(k, F.lit(""))) for k in "name services evidence lat lng address email phone website sourceUrl".split()}
-    searched = [f["name"], f["services"]] + ([f["evidence"]] if strict_parity else [])
-    rejects = terms_in(F.concat_ws(" ", *searched), reject)
-    by = {k: terms_in(f[k], accept) for k in ("services", "name", "evidence")}
+    by = hits or import_hits({k: F.lower(f[k]) for k in ("name", "services", "evidence")}, accept, reject, strict_parity)
+    rejects = by["rejects"]
     place = present(f["address"]) | (present(f["lat"]) & present(f["lng"]))
     contact = any_of([present(f[k]) for k in REACH])
     points = [(F.size(by["services"]) > 0, 6), (F.size(by["name"]) > 0, 4), (F.size(by["evidence"]) > 0, 2), (place, 1), (contact, 1)]

@@ -10,31 +10,26 @@ from ..functions import text as N
 from ..functions import vocab
 from ..functions.score import admissible, link_score
 from ..plans.session import materialize
+from ..plans.shape import computed
 
 #: Anchors with their text; tags within it are dropped.
 _ANCHOR = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
 
-def _computed(df: DataFrame, *cols: Column) -> DataFrame:
-    """The columns, computed once: no rule can move a later filter, with copies of their long
-    expressions in it, below a generator."""
-    return df.select(F.inline(F.array(F.struct(*cols))))
-
-
 def page_links(pages: DataFrame) -> DataFrame:
     """(src_url, dst_url, anchor): every link of (url, html), resolved and normalised."""
     found = pages.select(F.col("url").alias("src_url"), F.explode(F.regexp_extract_all(N.text("html"), F.lit(_ANCHOR), F.lit(0))).alias("a"))
     href = F.regexp_extract("a", _ANCHOR, 1)
     anchor = N.clean_field(F.regexp_replace(F.regexp_extract("a", _ANCHOR, 2), "<[^>]*>", " "))
-    parts = _computed(found, F.col("src_url"), href.alias("href"), anchor.alias("anchor")).where("href != ''")
-    target = _computed(parts, F.col("src_url"), E.resolve("src_url", "href").alias("dst_url"), F.col("anchor"))
-    return _computed(target, F.col("src_url"), N.normalized_url("dst_url").alias("dst_url"), F.col("anchor"))
+    parts = computed(found, F.col("src_url"), href.alias("href"), anchor.alias("anchor")).where("href != ''")
+    target = computed(parts, F.col("src_url"), E.resolve("src_url", "href").alias("dst_url"), F.col("anchor"))
+    return computed(target, F.col("src_url"), N.normalized_url("dst_url").alias("dst_url"), F.col("anchor"))
 
 
 def scored_links(pages: DataFrame, same_domain: bool = True, **vocabulary) -> DataFrame:
     """(src_url, dst_url, score): links worth following, each pair and score once (SC3, A8)."""
     s = link_score("src_url", "dst_url", "anchor", same_domain, **vocabulary)
-    return _computed(page_links(pages), F.col("src_url"), F.col("dst_url"), s.alias("score")).where("score > 0").distinct()
+    return computed(page_links(pages), F.col("src_url"), F.col("dst_url"), s.alias("score")).where("score > 0").distinct()
 
 
 def unseen(links: DataFrame, *seen: DataFrame) -> DataFrame:
@@ -93,7 +88,7 @@ def discovered(pages: DataFrame, terms: list[str] = vocab.DISCOVERY_TERMS) -> Da
     """(src_url, dst_url, anchor, match_reasons): admissible links with a discovery term."""
     hits = E.terms_in(F.concat_ws(" ", "anchor", "dst_url"), terms)
     links = page_links(pages).where(admissible("src_url", "dst_url"))
-    found = _computed(links, *(F.col(c) for c in ("src_url", "dst_url", "anchor")), hits.alias("r"))
+    found = computed(links, *(F.col(c) for c in ("src_url", "dst_url", "anchor")), hits.alias("r"))
     return found.where(F.size("r") > 0).select("src_url", "dst_url", "anchor", F.array_join(F.slice("r", 1, 8), "; ").alias("match_reasons"))
 
 

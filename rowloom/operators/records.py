@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import extract as E
 from ..functions import text as N
 from ..functions import vocab
-from ..functions.score import accepted, import_score
+from ..functions.score import accepted, import_hits, import_score
+from ..plans.shape import computed
 from .merge import import_dedupe
 
 ROW_FIELDS = "name address city state postalCode phone email website services sourceType sourceTag sourceUrl lat lng evidenceNote".split()
@@ -55,6 +56,12 @@ def _raw_present(df: DataFrame, name: str) -> Column:
     return c.isNotNull() & (c != "") if dict(df.dtypes)[name] == "string" else c.isNotNull()
 
 
+def _with_service(so_far: Column, one: Column) -> Column:
+    """Services so far and another one, which stands alone if it is among them."""
+    joined = F.regexp_replace(F.concat_ws("; ", so_far, one), "^[; ]+|[; ]+$", "")
+    return F.when((so_far != "") & ~F.lower(so_far).contains(F.lower(one)), joined).otherwise(one)
+
+
 def normalize_structured(raw: DataFrame, source_type: str = "provider_file_import", source_tag: str = "provider_text_import", position: str = "position") -> DataFrame:
     """Rows of a table with any column names as import rows.
 
@@ -69,18 +76,17 @@ def normalize_structured(raw: DataFrame, source_type: str = "provider_file_impor
             continue
         have = [by_norm[_norm(a)] for a in aliases if _norm(a) in by_norm]
         if field == "services":
-            value = F.lit("")
-            for c in have:
-                v = F.when(_raw_present(raw, c), _string(raw, c))
-                joined = F.regexp_replace(F.concat_ws("; ", value, v), "^[; ]+|[; ]+$", "")
-                value = F.when(v.isNull(), value).when((value != "") & ~F.lower(value).contains(F.lower(v)), joined).otherwise(v)
-            row[field] = value
+            row[field] = F.lit("")
+            if have:
+                parts = F.array_compact(F.array(*[F.when(_raw_present(raw, c), _string(raw, c)) for c in have]))
+                row[field] = F.aggregate(parts, F.lit(""), _with_service)
         else:
             row[field] = F.coalesce(*[F.when(_raw_present(raw, c), _string(raw, c)) for c in have], F.lit(""))
     exact = lambda c: _string(raw, c) if c in source else F.lit("")
     origin = N.source_url(exact("sourceUrl"), exact("source_url"), exact("maps_url"), exact("url"))
     evidence = F.substring(F.concat(F.lit("{"), F.concat_ws(", ", *[_json(raw, c) for c in source]), F.lit("}")), 1, 1500)
-    out = raw.select(
+    out = computed(
+        raw,
         F.col(position),
         *[v.alias(k) for k, v in row.items()],
         origin.alias("sourceUrl"),
@@ -96,7 +102,8 @@ def normalize_structured(raw: DataFrame, source_type: str = "provider_file_impor
 
 def with_derived(rows: DataFrame) -> DataFrame:
     d = E.address_parts("address", "name", "state", "postalCode", "city")
-    return rows.withColumn("__d", d).withColumns({c: F.col(f"__d.{c}") for c in ("address", "city", "state", "postalCode")}).drop("__d")
+    with_parts = computed(rows, *(F.col(c) for c in rows.columns), d.alias("__d"))
+    return with_parts.withColumns({c: F.col(f"__d.{c}") for c in ("address", "city", "state", "postalCode")}).drop("__d")
 
 
 def block_rows(blocks: DataFrame, source_type: str = "provider_file_import", source_tag: str = "provider_text_import", accept: Sequence[str] = vocab.ACCEPT_TERMS) -> DataFrame:
@@ -110,7 +117,7 @@ def block_rows(blocks: DataFrame, source_type: str = "provider_file_import", sou
         field = F.try_element_at(known, N.normalized_name(F.regexp_extract(x, E.LABEL, 1)))
         return F.struct(x.alias("line"), F.when(x.rlike(E.LABEL), field).alias("field"), N.clean_record(F.regexp_extract(x, E.LABEL, 2)).alias("value"))
 
-    df = blocks.withColumn("__lines", F.transform(lines, tagged))
+    df = computed(blocks, "position", "block", F.transform(lines, tagged).alias("__lines"))
 
     def values(field: str, found: "None | object" = None) -> Column:
         def of(x: Column) -> Column:
@@ -130,8 +137,8 @@ def block_rows(blocks: DataFrame, source_type: str = "provider_file_import", sou
     named = F.coalesce(F.try_element_at(F.transform("__lines", lambda x: x["line"]), F.lit(1)), F.lit(""))
     cols = {f: values(f, found.get(f)) for f in vocab.FIELD_ALIASES if f not in ("name", "services")}
     terms = F.array_join(F.slice(E.terms_in("block", accept), 1, 6), "; ")
-    out = df.select(
-        "position", named.alias("name"), *[v.alias(k) for k, v in cols.items()], F.coalesce(N.first_present(values("services")), terms).alias("services"),
+    out = computed(
+        df, "position", named.alias("name"), *[v.alias(k) for k, v in cols.items()], F.coalesce(N.first_present(values("services")), terms).alias("services"),
         F.lit(source_type).alias("sourceType"), F.lit(source_tag).alias("sourceTag"), F.substring(N.text("block"), 1, 1500).alias("evidenceNote"),
     )
     return with_derived(out).select("position", *ROW_FIELDS)
@@ -142,12 +149,12 @@ def text_blocks(texts: DataFrame, accept: Sequence[str] = vocab.ACCEPT_TERMS, re
     without any, lines from one record start to the next (TXT1-TXT3), an islands window."""
     whole = texts.select("doc", F.regexp_replace(N.text("text"), "\r\n", "\n").alias("text"))
     parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    parted = whole.withColumn("parts", parts)
+    parted = computed(whole, "doc", "text", parts.alias("parts"))
     many = parted.where(F.size("parts") > 1).select("doc", F.posexplode("parts").alias("position", "block"))
     lines = parted.where(F.size("parts") <= 1).select("doc", "text", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = lines.withColumn("line", N.clean_record("line")).where("line != ''")
+    lines = computed(lines, "doc", "n", N.clean_record("line").alias("line")).where("line != ''")
     w = Window.partitionBy("doc").orderBy("n")
-    starts = lines.withColumn("start", E.record_start("line", accept, reject).cast("int"))
+    starts = computed(lines, "doc", "n", "line", E.record_start("line", accept, reject).cast("int").alias("start"))
     islands = starts.withColumn("position", F.coalesce(F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.first("start").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)))
     joined = islands.groupBy("doc", "position").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
     single = joined.select("doc", F.col("position").cast("int"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"))
@@ -157,8 +164,14 @@ def text_blocks(texts: DataFrame, accept: Sequence[str] = vocab.ACCEPT_TERMS, re
 def score_rows(rows: DataFrame, min_score: float = 5, accept: Sequence[str] = vocab.ACCEPT_TERMS, reject: Sequence[str] = vocab.REJECT_TERMS, strict_parity: bool = True) -> DataFrame:
     """rows with score, reasons, match_reasons, rejection and accepted, without repeats (SC2, D1, F2)."""
     fields = {k: k for k in "name services lat lng address email phone website sourceUrl".split()} | {"evidence": "evidenceNote"}
-    s = import_score({k: F.col(v) for k, v in fields.items()}, accept, reject, strict_parity)
-    scored = rows.withColumn("__s", s).withColumns({"score": F.col("__s.score"), "reasons": F.col("__s.reasons"), "rejection_reason": F.col("__s.rejection")}).drop("__s")
+    # Lower case once, each term searched once, then the score: three steps, no expression twice.
+    own = [F.col(c) for c in rows.columns]
+    texts = {"name": "name", "services": "services", "evidence": "evidenceNote"}
+    low = computed(rows, *own, *[F.lower(N.text(c)).alias(f"__low_{k}") for k, c in texts.items()])
+    hits = import_hits({k: F.col(f"__low_{k}") for k in texts}, accept, reject, strict_parity)
+    found = computed(low, *own, *[v.alias(f"__hit_{k}") for k, v in hits.items()])
+    s = import_score({k: F.col(v) for k, v in fields.items()}, accept, reject, strict_parity, {k: F.col(f"__hit_{k}") for k in hits})
+    scored = computed(found, *own, s.alias("__s")).withColumns({"score": F.col("__s.score"), "reasons": F.col("__s.reasons"), "rejection_reason": F.col("__s.rejection")}).drop("__s")
     scored = scored.withColumn("match_reasons", F.array_join("reasons", "; ")).withColumn("accepted", accepted(F.col("score"), F.col("rejection_reason"), min_score))
     return import_dedupe(scored)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import records
+from ..plans.shape import spread
 
 REGISTRY_COLUMNS = ["country", "sourceTag", "url", "allowedDomain", "crawlMode", "enabled", "notes"]
 
@@ -62,10 +63,10 @@ def import_rows(spark: SparkSession, path: str, fmt: str = "auto", limit: int |
     """Import rows of a file of any of the formats; limit counts rows as read (SRC6)."""
     fmt = detect(spark, path, fmt)
     if fmt == "txt":
-        rows = records.block_rows(read_text(spark, path), source_type, source_tag)
+        rows = records.block_rows(spread(read_text(spark, path)), source_type, source_tag)
     else:
         raw = {"csv": read_csv, "jsonl": read_jsonl, "json": read_json}[fmt](spark, path)
-        rows = records.normalize_structured(raw, source_type, source_tag)
+        rows = records.normalize_structured(spread(raw), source_type, source_tag)
     return rows.orderBy("position").limit(limit) if limit else rows
 
 

@@ -9,8 +9,9 @@ the end ``::text`` or ``::attr(name)``. Paths: ``//tag[@a='v']/tag/@attr``,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -90,7 +91,20 @@ def parse(html: str | None) -> Node:
 _STEP = re.compile(r"(?P<tag>\*|[\w-]+)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?P<q>[\"']?)(?P<val>.*?)(?P=q)\s*)?\]")
 
 
-def _matches(node: Node, step: str) -> bool:
+_OPERATORS: dict[str | None, Callable[[str | None, str], bool]] = {
+    None: lambda has, value: has is not None,
+    "=": lambda has, value: has == value,
+    "*=": lambda has, value: bool(value) and value in (has or ""),
+    "^=": lambda has, value: bool(value) and (has or "").startswith(value),
+    "$=": lambda has, value: bool(value) and (has or "").endswith(value),
+    "~=": lambda has, value: value in (has or "").split(),
+}
+
+
+@lru_cache(1024)
+def _tests(step: str) -> list[Callable[[Node], bool]]:
+    """What a node must satisfy to match one step of a selector."""
+    out: list[Callable[[Node], bool]] = []
     at = 0
     while at < len(step):
         m = _STEP.match(step, at)
@@ -98,23 +112,18 @@ def _matches(node: Node, step: str) -> bool:
             raise ValueError(f"selector not supported: {step!r}")
         at = m.end()
         if m["tag"]:
-            ok = m["tag"] == "*" or node.tag == m["tag"].lower()
+            tag = m["tag"].lower()
+            out.append((lambda n: n.tag != "#document") if tag == "*" else (lambda n, tag=tag: n.tag == tag))
         elif m["cls"]:
-            ok = m["cls"] in node.attrs.get("class", "").split()
+            out.append(lambda n, c=m["cls"]: c in n.attrs.get("class", "").split())
         elif m["id"]:
-            ok = node.attrs.get("id") == m["id"]
+            out.append(lambda n, i=m["id"]: n.attrs.get("id") == i)
         else:
-            has, value = node.attrs.get(m["attr"]), m["val"] or ""
-            tests = {
-                None: has is not None, "=": has == value, "*=": bool(value) and value in (has or ""), "^=": bool(value) and (has or "").startswith(value),
-                "$=": bool(value) and (has or "").endswith(value), "~=": value in (has or "").split(),
-            }
-            ok = tests[m["op"]]
-        if not ok:
-            return False
-    return node.tag != "#document"
+            out.append(lambda n, a=m["attr"], test=_OPERATORS[m["op"]], v=m["val"] or "": test(n.attrs.get(a), v))
+    return out
 
 
+@lru_cache(1024)
 def _split(selector: str, by: str) -> list[str]:
     """Parts at commas or spaces that aren't within brackets."""
     return [x for x in re.split(rf"{by}(?![^\[]*\])", selector.strip()) if x.strip()]
@@ -131,9 +140,10 @@ def select(root: Node, selector: str) -> list[Node]:
                 child = True
                 continue
             seen: dict[int, Node] = {}
+            tests = _tests(step)
             for base in here:
                 below = (k for k in base.kids if isinstance(k, Node)) if child else (n for n in base.walk() if n is not base)
-                seen.update((id(n), n) for n in below if _matches(n, step))
+                seen.update((id(n), n) for n in below if all(t(n) for t in tests))
             here, child = list(seen.values()), False
         found.update((id(n), n) for n in here)
     return [n for n in root.walk() if id(n) in found] if len(found) > 1 else list(found.values())

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..plans.shape import spread
 from .markup import Node, css, parse, select, xpath
 
 FIELDS = "name address city region postalCode country phone email website services sourceUrl lat lng evidenceNote".split()
@@ -184,7 +185,7 @@ def extract_records(pages: DataFrame, run_key: str = "", source_type: str = "pas
 
     wanted = pages.select("url", "html", (F.col("country") if has_country else F.lit("")).alias("country"))
     stamps = {"crawlRunKey": run_key, "sourceType": source_type, "sourceTag": source_tag, "type": "provider_candidate"}
-    return wanted.mapInPandas(work, SCHEMA).withColumns({k: F.lit(v) for k, v in stamps.items()})
+    return spread(wanted).mapInPandas(work, SCHEMA).withColumns({k: F.lit(v) for k, v in stamps.items()})
 
 
 # -- rule files (E12, SRC9) -------------------------------------------------------
