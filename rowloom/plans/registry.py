@@ -556,3 +556,55 @@ def pages_per_country(spark, sf_dir):
     country = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("page_id") % 4 + 1).cast("int"))
     capped = frontier.cap_per_country(p.select("page_id", "url", country.alias("country"), (F.col("page_id") % 6).alias("depth")), 7)
     return capped.select("page_id", "url", "country")
+
+
+# -- more extraction ------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, array_to_string(regexp_extract_all('at ' || url || ', or www.x.org/a;', '(?i)(?:https?://|www[.])[^\s;,)<]+', 0), ' ') AS listed, regexp_extract('at ' || url || ' too', '(?:https?://|www[.])\S+', 0) AS first FROM pages")
+def extract_urls(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    listed = E.all_matches(F.concat(F.lit("at "), "url", F.lit(", or www.x.org/a;")), E.URL_LISTED)
+    return p.select("page_id", F.array_join(listed, " ").alias("listed"), E.first_match(F.concat(F.lit("at "), "url", F.lit(" too")), E.URL_ANY).alias("first"))
+
+
+_PIECES = ["the", "ing", "ou", "sch"]
+_CONTAINED = ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in _PIECES)
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{_CONTAINED}], lambda x: x IS NOT NULL), ';') AS terms, left(text, 180) AS head FROM documents")
+def substring_terms(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(E.substrings_in("text", _PIECES), ";").alias("terms"), N.truncate("text", 180).alias("head"))
+
+
+_CHUNK = f"trim(trim(regexp_replace(x, '{_SPACES}', ' ', 'g')), ' ,;|')"
+
+
+@query(f"""SELECT doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(text, '[|•\\n]'), lambda x: {_CHUNK}),
+  lambda x: length(x) BETWEEN 8 AND 260 AND regexp_matches(x, '[0-9]') AND (regexp_matches(x, '{POSTAL_SQL}') OR regexp_matches(x, '{E.STREET}')))[1], '') AS address FROM documents""")
+def address_like_lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", E.address_like_line("text").alias("address"))
+
+
+_FOUND = ["the", "en", "es"]
+
+
+@query(f"""WITH {_LINKS_SQL}, j AS (SELECT *, {_terms("(anchor || ' ' || dst_url)", _FOUND)} AS r, {_host('src_url')} AS a, {_host('dst_url')} AS b, lower(regexp_extract(dst_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM links)
+SELECT src_url, dst_url, anchor, array_to_string(r[1:8], '; ') AS match_reasons FROM j WHERE len(r) > 0 AND regexp_matches(dst_url, '^https?://') AND coalesce(a = b OR ends_with(b, '.' || a), false)
+  AND NOT regexp_matches(path, '[.]({"|".join(x[1:] for x in vocab.DISCOVERY_EXTENSIONS)})$')""")
+def discovered_links(spark, sf_dir):
+    return frontier.discovered(read(spark, sf_dir, "pages"), _FOUND)
+
+
+@query()
+def text_block_records(spark, sf_dir):
+    """Import rows of documents read as free text, with words that they hold."""
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return records.block_rows(records.text_blocks(texts, ["the"], ["der"]), accept=["the", "of", "und"])
+
+
+@query("SELECT run_key, url, arg_max(status, seq) AS status, arg_max(found, seq) AS found FROM (SELECT user_id % 20 AS run_key, event_id AS seq, 'p' || (event_id % 500) AS url, event_type AS status, event_id % 5 AS found FROM events) GROUP BY 1, 2")
+def crawl_page_states(spark, sf_dir):
+    k = F.col("event_id")
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run_key"), k.alias("seq"), F.concat(F.lit("p"), (k % 500).cast("string")).alias("url"), F.col("event_type").alias("status"), (k % 5).alias("found"))
+    return frontier.page_states(e)
