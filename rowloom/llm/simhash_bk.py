@@ -38,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import connected_components
@@ -89,17 +88,17 @@ def _node(lo: np.ndarray, hi: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, lo, hi, grams, words) of each row with a text."""
+    """(doc_id, copy, node, lo, hi, grams, words) of each row with a text; copy hashes the text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         lo, hi, grams, words = fingerprints(K.column_of(batch, "text"))
-        node = _node(lo, hi, grams)
-        cols = [K.column_of(batch, "doc_id"), *(pa.array(x.view(np.int64)) for x in (node, lo, hi, grams)), pa.array(words.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "lo", "hi", "grams", "words"])
+        made = (pa.array(x.view(np.int64)) for x in (_node(lo, hi, grams), lo, hi, grams))
+        cols = [K.column_of(batch, "doc_id"), K.column_of(batch, "copy"), *made, pa.array(words.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "copy", "node", "lo", "hi", "grams", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").where("text is not null")
-    return texts.mapInArrow(K.by_chunk(work), f"doc_id {kind}, node long, lo long, hi long, grams long, words long")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").where("text is not null")
+    return texts.mapInArrow(K.by_chunk(work), f"doc_id {kind}, copy long, node long, lo long, hi long, grams long, words long")
 
 
 # -- BK-trees ---------------------------------------------------------------
@@ -290,16 +289,20 @@ def _broadcast_edges(prints: DataFrame, bits: np.ndarray, radius: int, confirm:
 # -- groups -----------------------------------------------------------------
 
 
-def find_groups(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
-    """(fingerprint rows, groups): the rows are (doc_id, node, ...), groups (node, root, keep_id)."""
+def find_groups(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, tables: int = TABLES) -> DataFrame:
+    """(doc_id, copy, times, root, keep_id, stays): each distinct (id, text) with its group, and
+    whether it is the one that stays."""
     rows = cut(_prints(docs))
-    prints = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("lo", "hi", "grams")), F.min("words").alias("words"), F.min("doc_id").alias("least"))
-    prints = cut(prints)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("first")
+    prints = cut(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("lo", "hi", "grams")), F.min("words").alias("words"), first))
     roots = connected_components(near_edges(prints.where("words > 0"), radius, confirm, tables))
-    placed = prints.select("node", "least").join(roots.withColumnRenamed("id", "node"), "node", "left")
-    placed = placed.select("node", F.coalesce("root", "node").alias("root"), "least")
-    keepers = placed.groupBy("root").agg(F.min("least").alias("keep_id"), F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("keep_node"))
-    return rows, cut(placed.join(keepers, "root").select("node", "root", "keep_id", "keep_node"))
+    placed = prints.select("node", "first").join(roots.withColumnRenamed("id", "node"), "node", "left")
+    placed = placed.select("node", F.coalesce("root", "node").alias("root"), "first")
+    keepers = placed.groupBy("root").agg(F.min("first").alias("keep"))
+    groups = placed.select("node", "root").join(keepers, "root")
+    counted = rows.groupBy("doc_id", "copy", "node").agg(F.count("*").alias("times")).join(groups, "node")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("copy") == F.col("keep.copy"))
+    return counted.select("doc_id", "copy", "times", "root", F.col("keep.doc_id").alias("keep_id"), stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, tables: int = TABLES) -> DataFrame:
@@ -309,12 +312,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
     group. Of rows that share the id that stays, one is kept. Null text:
     group_id is the row's own id, copies 1, kept.
     """
-    rows, groups = find_groups(docs, radius, confirm, tables)
-    counted = rows.groupBy("doc_id", "node").agg(F.count("*").alias("times")).join(groups, "node")
-    size = counted.groupBy("root").agg(F.sum("times").alias("copies"))
-    each = counted.join(size, "root").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    stays = (F.col("node") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 1)
-    found = each.select("doc_id", F.col("keep_id").alias("group_id"), "copies", stays.alias("kept"))
+    each = find_groups(docs, radius, confirm, tables)
+    size = each.groupBy("root").agg(F.sum("times").alias("copies"))
+    rows = each.join(size, "root").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    found = rows.select("doc_id", F.col("keep_id").alias("group_id"), "copies", (F.col("stays") & (F.col("k") == 1)).alias("kept"))
     blank = docs.where("text is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
     return found.unionByName(blank)
 
@@ -322,26 +323,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
 def drop_copies(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, tables: int = TABLES) -> DataFrame:
     """docs with one row of each group, all columns kept.
 
-    Rows that stay are found by (doc_id, fingerprint); only where several rows
-    share both is one picked, by its whole content.
+    Rows that go are named by (doc_id, hash of the text), so texts are
+    fingerprinted once; only where several rows share both is one of them picked.
     """
-    rows, groups = find_groups(docs, radius, confirm, tables)
-    counted = rows.groupBy("doc_id", "node").agg(F.count("*").alias("times")).join(groups, "node")
-    stays = (F.col("node") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    mark, its_id, its_node, one = (K.fresh(docs.columns, x) for x in ("node", "goes_id", "goes_node", "one"))
-    goes = counted.where(~stays | (F.col("times") > 1)).select(F.col("doc_id").alias(its_id), F.col("node").alias(its_node), stays.alias(one))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = K.column_of(batch, "text")
-        lo, hi, grams, _ = fingerprints(text)
-        node = pa.array(_node(lo, hi, grams).view(np.int64), mask=text.is_null().to_numpy(zero_copy_only=False))
-        return pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, mark])
-
-    marked = docs.mapInArrow(K.by_chunk(work), T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
-    joined = marked.join(goes, marked["doc_id"].eqNullSafe(goes[its_id]) & (marked[mark] == goes[its_node]), "left")
+    each = find_groups(docs, radius, confirm, tables)
+    copy, its_id, its_copy, one = (K.fresh(docs.columns, x) for x in ("copy", "goes_id", "goes_copy", "one"))
+    goes = each.where(~F.col("stays") | (F.col("times") > 1)).select(F.col("doc_id").alias(its_id), F.col("copy").alias(its_copy), F.col("stays").alias(one))
+    marked = docs.withColumn(copy, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    joined = marked.join(goes, marked["doc_id"].eqNullSafe(goes[its_id]) & (marked[copy] == goes[its_copy]), "left")
     names = [f"`{c}`" for c in docs.columns]
     plain = joined.where(f"`{one}` is null").select(*names)
-    return plain.unionByName(joined.where(f"`{one}`").dropDuplicates(["doc_id", mark]).select(*names))
+    return plain.unionByName(joined.where(f"`{one}`").dropDuplicates(["doc_id", copy]).select(*names))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
