@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder: what follows survives lost executors and has a short plan."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once a session, unless they find it by themselves:
+    on PYTHONPATH, or in the working directory of a local session."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    found = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    here = Path.cwd() == root and sc.master.startswith("local[")
+    if found or here or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='rowloom-')}/rowloom", "zip", root, "rowloom"))
