@@ -6,22 +6,18 @@ word bigrams. Two texts are near copies when the former differ in at most
 always. Groups are the connected components; the row with the least
 (doc_id, nulls last) of a group stays.
 
-Search. Every distinct fingerprint stands in ``TABLES`` tables under a key of
-``key_bits`` of its bits, sampled per table. A bucket (table, key) holds one
-BK-tree: a node's children are keyed by their integer Hamming distance to it,
-and a query follows only edges within the radius of its own distance to the
-node. Trees are built and searched level by level with numpy, a whole shard of
-trees at once. ``key_bits`` is log2 of the number of fingerprints less two (at
-least 4, at most 40), so buckets stay small at every size; ``TABLES`` gives a
-pair at a tenth of its bits apart a chance of over 0.99 (recall is tested).
-
-Where the trees go. If the fingerprints and all tree entries together are below
-``BROADCAST_BYTES`` shard trees are broadcast and every fingerprint queries the
-trees of its keys; beyond that the trees' size follows the corpus, so queries
-travel to the shard that owns their trees instead. Both give the same edges.
-
-A bucket reports, for each of its nodes, the least node of its component within
-the bucket: spanning edges, so a thousand copies cost a thousand rows.
+Search. Exact at every size: every fingerprint meets every other. Distinct
+fingerprints are dealt by hash over shards of at most ``SHARD_BYTES``, and each
+pair of shards is one task that holds both. A shard is a BK-tree of one level:
+its items are the children of a common root, keyed by their integer Hamming
+distance to it; a query follows only edges within the radius of its own distance
+to the root, and what hangs there is scanned with numpy. (Texts that aren't
+related lie near 64 bits apart, so deeper levels cut nothing off at radius 24 and
+cost more than a scan.) Work grows with the square of the number of distinct
+fingerprints; what crosses the network is one entry a fingerprint and shard.
+
+A task reports, for each fingerprint, the least one of its component within the
+two shards: spanning edges, so a thousand copies cost a thousand rows a task.
 
 Defined cases. Null text: no group, always kept. Text without a word: only an
 equal text is a copy. Repeated rows: copies of one another, one stays. Null
@@ -43,9 +39,10 @@ from . import kernels as K
 from .components import connected_components
 from .shared import cut, table
 
-RADIUS, CONFIRM, TABLES = 24, 22, 24
-BROADCAST_BYTES = 32 << 20
-FRONTIER = 1 << 20
+RADIUS, CONFIRM = 24, 22
+SHARDS, SHARD_BYTES = 8, 8 << 20
+QUERIES, TILE = 64, 8192  # pairs compared at once
+TABLES = 24  # of sampled keys: only to measure what they would miss
 U = np.uint64
 
 
@@ -162,29 +159,42 @@ def _least_members(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def bucket_edges(bucket: np.ndarray, node: np.ndarray, lo: np.ndarray, hi: np.ndarray, grams: np.ndarray, radius: int, confirm: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (node, node) of the near pairs within each bucket; items are sorted by bucket."""
-    first = np.ones(len(bucket), bool)
-    first[1:] = bucket[1:] != bucket[:-1]
-    size = np.diff(np.append(np.flatnonzero(first), len(bucket)))
-    several = np.repeat(size > 1, size)
-    bucket, node, lo, hi, grams = (x[several] for x in (bucket, node, lo, hi, grams))
-    size = np.repeat(size[size > 1], size[size > 1])
-    if not len(bucket):
+def shard_edges(node: np.ndarray, lo: np.ndarray, hi: np.ndarray, grams: np.ndarray, left: int, radius: int, confirm: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (node, node) of the near pairs between the first ``left`` items and the
+    others; if there are no others, of those among all items."""
+    n, same = len(node), left == len(node)
+    if not n:
         return node, node
-    forest = Forest(bucket, lo, hi)
-    ends = np.cumsum(size)
-    a, b, at = [], [], 0
-    while at < len(node):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FRONTIER, "right")))
-        for q, m in forest.search(lo[at:to], hi[at:to], forest.root[at:to], radius):
-            q = q + at
-            ok = (q > m) & (K.popcount(grams[q] ^ grams[m]) <= confirm)
+    to_root = K.popcount(lo ^ lo[0]).astype(np.int64) + K.popcount(hi ^ hi[0])
+    order = np.concatenate([np.argsort(to_root[:left], kind="stable"), left + np.argsort(to_root[left:], kind="stable")])
+    node, lo, hi, grams, to_root = (x[order] for x in (node, lo, hi, grams, to_root))
+    first = 0 if same else left
+    edges = to_root[first:]
+    a, b, held = [], [], 0
+    for at in range(0, left, QUERIES):
+        to = min(at + QUERIES, left)
+        begin = first + int(np.searchsorted(edges, to_root[at] - radius))
+        end = first + int(np.searchsorted(edges, to_root[to - 1] + radius, "right"))
+        for tile in range(max(begin, at) if same else begin, end, TILE):
+            m = slice(tile, min(tile + TILE, end))
+            d = K.popcount(lo[at:to, None] ^ lo[None, m]).ravel()
+            hit = np.flatnonzero(d <= radius)
+            q, i = np.divmod(hit, m.stop - m.start)
+            q, i = q + at, i + tile
+            near = d[hit].astype(np.int64) + K.popcount(hi[q] ^ hi[i]) <= radius
+            q, i = q[near], i[near]
+            ok = (q < i) & (K.popcount(grams[q] ^ grams[i]) <= confirm)
             a.append(q[ok])
-            b.append(m[ok])
-        at = to
-    root = _least_members(len(node), np.concatenate(a), np.concatenate(b))
-    linked = np.flatnonzero(root != np.arange(len(root)))
+            b.append(i[ok])
+            held += len(a[-1])
+        if held > 1 << 20:
+            root = _least_members(n, np.concatenate(a), np.concatenate(b))
+            linked = np.flatnonzero(root != np.arange(n))
+            a, b, held = [linked], [root[linked]], 0
+    if not a:
+        return node[:0], node[:0]
+    root = _least_members(n, np.concatenate(a), np.concatenate(b))
+    linked = np.flatnonzero(root != np.arange(n))
     return node[linked], node[root[linked]]
 
 
@@ -206,96 +216,44 @@ def table_keys(lo: np.ndarray, hi: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-_NAMES = ["bucket", "node", "lo", "hi", "grams"]
+_NAMES = ["node", "lo", "hi", "grams"]
 
 
-def _numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [K.column_of(batch, c).to_numpy().view(U) for c in _NAMES]
-
-
-def near_edges(prints: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, tables: int = TABLES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def near_edges(prints: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, least_shards: int = SHARDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(u, v): spanning edges over the nodes of ``prints`` (node, lo, hi, grams; distinct)."""
     count = prints.count()
-    key_bits = int(np.clip(np.log2(max(count, 1)) - 2, 4, 40))
-    bits = table_bits(tables, key_bits)
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, lo, hi, grams = (K.column_of(batch, c).to_numpy() for c in _NAMES[1:])
-        keys = table_keys(lo.view(U), hi.view(U), bits).ravel().view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(x, tables)) for x in (node, lo, hi, grams))], _NAMES)
-
-    def spread_all(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                yield spread(batch.slice(at, 8192))
-
-    def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.maximum(u.view(np.int64), v.view(np.int64)), np.minimum(u.view(np.int64), v.view(np.int64))]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
-
-    def shard(batches):
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            held.append(_numbers(batch))
-            if sum(len(x[0]) for x in held) < 1 << 16:
-                continue
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            done = int(np.searchsorted(cols[0].view(np.int64), cols[0].view(np.int64)[-1]))  # the last bucket may go on
-            if done:
-                yield pairs(*bucket_edges(*(x[:done] for x in cols), radius, confirm))
-            held = [[x[done:] for x in cols]]
-        if held:
-            yield pairs(*bucket_edges(*(np.concatenate(x) for x in zip(*held, strict=True)), radius, confirm))
-
-    entries = prints.select(*_NAMES[1:]).mapInArrow(spread_all, ", ".join(f"{c} long" for c in _NAMES))
-    if count * (tables * 16 + 32) <= broadcast_bytes:
-        return _broadcast_edges(prints, bits, radius, confirm)
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shard, "u long, v long").distinct()
-
-
-def _broadcast_edges(prints: DataFrame, bits: np.ndarray, radius: int, confirm: int) -> DataFrame:
-    """The same edges, up to the choice of spanning ones, from broadcast shard trees."""
-    spark = prints.sparkSession
-    rows = prints.select(*_NAMES[1:]).toArrow().combine_chunks()
-    node, lo, hi, grams = (rows[c].to_numpy().view(U) for c in _NAMES[1:])
-    keys = table_keys(lo, hi, bits)
-    shards = []
-    for t in range(keys.shape[1]):
-        order = np.argsort(keys[:, t], kind="stable")
-        shards.append((keys[order, t], Forest(keys[order, t], lo[order], hi[order]), order))
-    shared = spark.sparkContext.broadcast((shards, node, grams))
-
-    def search(batches):
-        shards, node, grams = shared.value
-        for batch in batches:
-            own, qlo, qhi, qgrams = (K.column_of(batch, c).to_numpy().view(U) for c in _NAMES[1:])
-            keys = table_keys(qlo, qhi, bits)
-            for t, (sorted_keys, forest, order) in enumerate(shards):
-                at = np.searchsorted(sorted_keys, keys[:, t])
-                size = np.searchsorted(sorted_keys, keys[:, t], "right") - at
-                ends, begin = np.cumsum(size), 0
-                while begin < len(own):
-                    to = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + FRONTIER, "right")))
-                    for q, m in forest.search(qlo[begin:to], qhi[begin:to], forest.root[at[begin:to]], radius):
-                        q, m = q + begin, order[m]
-                        ok = (own[q] != node[m]) & (K.popcount(qgrams[q] ^ grams[m]) <= confirm)
-                        u, v = own[q[ok]].view(np.int64), node[m[ok]].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
-                    begin = to
-
-    return prints.select(*_NAMES[1:]).mapInArrow(search, "u long, v long").distinct()
+    # Few shards suffice for memory when the table is small; some more give all cores work.
+    shards = max(1, -(-count * 32 // max(shard_bytes, 1 << 10)), min(least_shards, count >> 12))
+
+    def meet(batches):
+        held = [[K.column_of(batch, c).to_numpy() for c in ["shard", *_NAMES]] for batch in batches]
+        if not held:
+            return
+        shard, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(shard, kind="stable")
+        left = int((shard == shard.min()).sum())
+        u, v = (x.view(np.int64) for x in shard_edges(*(c[order].view(U) for c in cols), left, radius, confirm))
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    # Shards i <= j meet in task i * shards - i * (i - 1) / 2 + j - i.
+    dealt = prints.select(*_NAMES, F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    i, j = F.least("shard", "other"), F.greatest("shard", "other")
+    task = (i * shards - (i * (i - 1) / 2).cast("int") + j - i).cast("int")
+    tasks = each.select("shard", *_NAMES, task.alias("task")).repartitionById(shards * (shards + 1) // 2, F.col("task"))
+    return tasks.mapInArrow(meet, "u long, v long").distinct()
 
 
 # -- groups -----------------------------------------------------------------
 
 
-def find_groups(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, tables: int = TABLES) -> DataFrame:
+def find_groups(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
     """(doc_id, copy, times, root, keep_id, stays): each distinct (id, text) with its group, and
     whether it is the one that stays."""
     rows = cut(_prints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("first")
     prints = cut(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("lo", "hi", "grams")), F.min("words").alias("words"), first))
-    roots = connected_components(near_edges(prints.where("words > 0"), radius, confirm, tables))
+    roots = connected_components(near_edges(prints.where("words > 0"), radius, confirm))
     placed = prints.select("node", "first").join(roots.withColumnRenamed("id", "node"), "node", "left")
     placed = placed.select("node", F.coalesce("root", "node").alias("root"), "first")
     keepers = placed.groupBy("root").agg(F.min("first").alias("keep"))
@@ -305,14 +263,14 @@ def find_groups(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, t
     return counted.select("doc_id", "copy", "times", "root", F.col("keep.doc_id").alias("keep_id"), stays.alias("stays"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, tables: int = TABLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
     """(doc_id, group_id, copies, kept) of every row of docs.
 
     group_id is the doc_id that stays; copies is the number of rows of the
     group. Of rows that share the id that stays, one is kept. Null text:
     group_id is the row's own id, copies 1, kept.
     """
-    each = find_groups(docs, radius, confirm, tables)
+    each = find_groups(docs, radius, confirm)
     size = each.groupBy("root").agg(F.sum("times").alias("copies"))
     rows = each.join(size, "root").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     found = rows.select("doc_id", F.col("keep_id").alias("group_id"), "copies", (F.col("stays") & (F.col("k") == 1)).alias("kept"))
@@ -320,13 +278,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
     return found.unionByName(blank)
 
 
-def drop_copies(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, tables: int = TABLES) -> DataFrame:
+def drop_copies(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
     """docs with one row of each group, all columns kept.
 
     Rows that go are named by (doc_id, hash of the text), so texts are
     fingerprinted once; only where several rows share both is one of them picked.
     """
-    each = find_groups(docs, radius, confirm, tables)
+    each = find_groups(docs, radius, confirm)
     copy, its_id, its_copy, one = (K.fresh(docs.columns, x) for x in ("copy", "goes_id", "goes_copy", "one"))
     goes = each.where(~F.col("stays") | (F.col("times") > 1)).select(F.col("doc_id").alias(its_id), F.col("copy").alias(its_copy), F.col("stays").alias(one))
     marked = docs.withColumn(copy, F.when(F.col("text").isNotNull(), F.xxhash64("text")))

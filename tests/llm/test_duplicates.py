@@ -92,6 +92,27 @@ def test_table_recall():
         assert met[within].mean() > 0.9
 
 
+def test_pairs_at_the_radius_are_all_found(spark):
+    """Recall 1 at distance exactly RADIUS; the sampled keys of 21 bits that stood here would miss most."""
+    rng = np.random.default_rng(3)
+    n = 10_000
+    lo, hi, lo2, hi2 = (np.zeros(n, np.uint64) for _ in range(4))
+    for half in (lo, hi):
+        half[:] = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    lo2[:], hi2[:] = lo, hi
+    for i in range(n):
+        for b in rng.choice(128, simhash_bk.RADIUS, replace=False).tolist():
+            half = lo2 if b < 64 else hi2
+            half[i] ^= np.uint64(1) << np.uint64(b % 64)
+    bits = simhash_bk.table_bits(simhash_bk.TABLES, 21)
+    met = (simhash_bk.table_keys(lo, hi, bits) == simhash_bk.table_keys(lo2, hi2, bits)).any(1)
+    assert met.mean() < 0.3
+    cols = {"node": np.arange(2 * n), "lo": np.concatenate([lo, lo2]).view(np.int64), "hi": np.concatenate([hi, hi2]).view(np.int64), "grams": np.zeros(2 * n, np.int64)}
+    prints = spark.createDataFrame(pa.table(cols)).repartition(4)
+    edges = {(r["u"], r["v"]) for r in simhash_bk.near_edges(prints, simhash_bk.RADIUS, simhash_bk.CONFIRM).collect()}
+    assert {(i + n, i) for i in range(n)} <= edges
+
+
 def test_simhash_odd_cases(odd, none):
     got = simhash_bk.near_duplicates(odd).collect()
     assert len(got) == odd.count()
