@@ -56,10 +56,6 @@ TITLES = {
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
-#: Capitalised words; one that the next sentence might begin with never follows a full stop.
-_NAME = r"\p{Lu}[\p{L}\p{M}'’-]*\p{Ll}"
-NAME_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({_TITLE})\.?[ \xa0]({_NAME}(?:[ \xa0]{_NAME}){{0,2}})(?![\p{{L}}\p{{M}}])"
-
 _UPPER = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c)) == "Lu") + "".join(chr(c) for c in range(0x370, 0x530) if unicodedata.category(chr(c)) == "Lu")
 _PY_NAME = rf"[{_UPPER}](?:[^\W\d_]|['’\-\u0300-\u036f])*[^\W\d_]"
 
@@ -75,7 +71,8 @@ _DETECT = re.compile(
     rf"|(?P<title>(?<!\w)(?:{_TITLE}))\.?[ \xa0](?P<name>{_PY_NAME}(?:[ \xa0]{_PY_NAME}){{0,2}})(?!\w)"
 )
 #: Without one of these a text has no entity; RE2 looks for them before anything else is done.
-_HINT = rf"[0-9@]|(?i:key|secret|token|passw|pwd)|(?:{_TITLE})\.?[ \x{{a0}}]"
+_TITLED = rf"(?:{_TITLE})\.?[ \x{{a0}}]"
+_HINT = rf"[0-9@]|(?i:key|secret|token|passw|pwd)|{_TITLED}"
 
 _GIVEN = {
     ("LATIN", "m"): ["Adrian", "Bruno", "Casper", "Dario", "Emil", "Felix", "Gideon", "Hugo", "Ivo", "Jonas", "Karl", "Leon", "Marius", "Nils", "Oskar", "Pablo"],
@@ -305,16 +302,17 @@ class Replacer:
 # -- names of the corpus ------------------------------------------------------
 
 
-def _spoken_names(docs: DataFrame) -> DataFrame:
-    """(text, kind, word): the name words after an honorific, word by word, of each text with one."""
-    hits = docs.where(F.col("text").rlike(NAME_PATTERN)).select(
-        "text", F.explode(F.regexp_extract_all("text", F.lit(NAME_PATTERN), F.lit(0))).alias("hit")
-    )
-    title = F.regexp_extract("hit", NAME_PATTERN, 1)
-    words = F.split(F.regexp_extract("hit", NAME_PATTERN, 2), "[ \\xa0]")
-    gender = F.create_map(*[F.lit(x) for t, g in _GENDER.items() for x in (t, g)])
-    each = hits.select("text", gender[title].alias("g"), words.alias("w")).select("text", "g", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
-    return each.select("text", F.when(F.col("i") == F.col("n") - 1, "family").otherwise(F.col("g")).alias("kind"), F.lower("x").alias("word"))
+def _spoken_names(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """(kind, word), with_text also text: the name words that ``Replacer`` replaces, by its own matcher."""
+    names = ["kind", "word", *["text"] * with_text]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = K.column_of(batch, "text")
+        titled = column.filter(pc.match_substring_regex(column, _TITLED).fill_null(False)).to_pylist()
+        found = {(k, w.lower(), *[t] * with_text) for t in titled for m in _DETECT.finditer(t) if m.lastgroup == "name" for k, w in name_parts(m["title"], m["name"])}
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(len(names))], names)
+
+    return docs.select("text").mapInArrow(K.by_chunk(work), ", ".join(f"{c} string" for c in names))
 
 
 def redrawn_names(docs: DataFrame, key: str) -> DataFrame:
@@ -351,7 +349,7 @@ def _replaced(docs: DataFrame, key: str, count: str, max_redrawn: int) -> DataFr
         source, own = docs, None
     else:
         own, hashed = K.fresh(names, "redrawn"), K.fresh(names, "text_hash")
-        spoken = _spoken_names(docs).join(redrawn, ["kind", "word"])
+        spoken = _spoken_names(docs, True).join(redrawn, ["kind", "word"])
         per_text = spoken.groupBy(F.sha2("text", 256).alias(hashed)).agg(F.collect_set(F.struct("kind", "word", "attempt")).alias(own))
         source = docs.withColumn(hashed, F.sha2("text", 256)).join(per_text, hashed, "left").select(*[docs[f"`{c}`"] for c in names], own)
         shared = None

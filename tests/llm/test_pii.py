@@ -108,6 +108,23 @@ def test_names_stay_distinct(spark, monkeypatch):
     assert len(set(subs)) == 20
 
 
+def test_names_in_capitals_are_gathered_as_replaced(spark):
+    docs = spark.createDataFrame([(1, "Mme DUPONT met Dr John SMITH."), (2, "Mr Peter Pan, Г-жа АННА ПЕТРОВА"), (3, None)], "doc_id long, text string")
+    got = {(r["kind"], r["word"]) for r in pii._spoken_names(docs).collect()}
+    assert got == {("family", "dupont"), ("n", "john"), ("family", "smith"), ("m", "peter"), ("family", "pan"), ("f", "анна"), ("family", "петрова")}
+
+
+def test_names_in_capitals_stay_distinct(spark):
+    """Of 300 given names in capitals some share a first draw; each ends with its own surrogate."""
+    words = [f"{a}{b}{c}X" for a in "ABCDEFGHIJ" for b in "AEIOUY" for c in "LMNRS"]
+    first = [pii.name_surrogate(b"k", "m", w) for w in words]
+    assert len(set(first)) < len(words)
+    docs = spark.createDataFrame([(i, f"Mr {w} SMITH") for i, w in enumerate(words)], "doc_id long, text string")
+    for most in (pii.MAX_REDRAWN, 1):
+        texts = [r["text"] for r in pii.replace_pii(docs, "k", most).collect()]
+        assert len({t.split()[1] for t in texts}) == len(words)
+
+
 def test_joined_and_broadcast_redraws_agree(spark, monkeypatch):
     table = spark.createDataFrame([("family", "smith", 2), ("m", "john", 1)], "kind string, word string, attempt int")
     monkeypatch.setattr(pii, "redrawn_names", lambda docs, key: table)
