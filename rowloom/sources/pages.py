@@ -272,7 +272,12 @@ def complete_details(seeds: DataFrame, pages: DataFrame, config: Mapping) -> Dat
 PRINTED_TERMS = ["clinic", "dentist", "doctor", "health", "hospital", "laboratory", "medical", "physician", "rehabilitation"]
 
 
-def printed_windows(lines: DataFrame, terms: list[str] | None = None, size: int = 5) -> DataFrame:
+PRINTED_PHONE = r"(?U)\+?\d[\d\s().-]{7,}\d"
+PRINTED_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PRINTED_WEBSITE = r"(?U)(?:https?://|www\.)\S+"
+
+
+def term_windows(lines: DataFrame, terms: list[str] | None = None, size: int = 5) -> DataFrame:
     """(doc, page, line_no, name, blob): windows of ``size`` lines of (doc, page, line_no, text)
     that hold a term. A plain window of leads: no Python."""
     from pyspark.sql import Window
@@ -285,3 +290,11 @@ def printed_windows(lines: DataFrame, terms: list[str] | None = None, size: int
     blob = F.concat_ws(" ", *[F.lead("text", k).over(w) if k else F.col("text") for k in range(size)])
     out = kept.select("doc", "page", "line_no", F.substring("text", 1, 160).alias("name"), blob.alias("blob"))
     return out.where(any_of([F.lower("blob").contains(t) for t in terms]))
+
+
+def printed_windows(lines: DataFrame, terms: list[str] | None = None, size: int = 5) -> DataFrame:
+    """(doc, page, line_no, name, blob, phone, email, website): windows of ``size`` lines that hold a
+    term and a phone number, an e-mail address or a URL; the first of each, '' if there is none."""
+    contacts = {"phone": PRINTED_PHONE, "email": PRINTED_EMAIL, "website": PRINTED_WEBSITE}
+    found = term_windows(lines, terms, size).withColumns({c: F.regexp_extract("blob", p, 0) for c, p in contacts.items()})
+    return found.where(" or ".join(f"{c} != ''" for c in contacts))

@@ -77,6 +77,14 @@ def test_printed_windows(spark):
     assert [(r["name"], r["blob"]) for r in out] == [("City Hospital", "City Hospital 1 Road 555 123 4567 x y")]
 
 
+def test_printed_windows_need_a_contact(spark):
+    pages = {1: ["City Hospital", "no contact"], 2: ["Clinic", "+1 (555) 123-4567 a.b@c.org", "www.c.org/x y"], 3: ["Doctor", "https://d.org"], 4: ["no term", "a@b.org"]}
+    lines = [("d", p, i, t) for p, ts in pages.items() for i, t in enumerate(ts)]
+    out = P.printed_windows(spark.createDataFrame(lines, "doc string, page int, line_no int, text string")).collect()
+    got = {(r["page"], r["line_no"], r["phone"], r["email"], r["website"]) for r in out}
+    assert got == {(2, 0, "+1 (555) 123-4567", "a.b@c.org", "www.c.org/x"), (3, 0, "", "", "https://d.org")}
+
+
 def site(spark):
     a = lambda *hrefs: "".join(f'<a href="{h}">clinics</a>' for h in hrefs)
     pages = [("https://e.org/", a("/clinics/1", "/clinics/1/", "/about.jpg", "https://o.org/clinics")), ("https://e.org/clinics/1", a("2", "/clinics/3")), ("https://e.org/clinics/2", a("/clinics/4")), ("https://e.org/clinics/4", None)]
