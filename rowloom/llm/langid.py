@@ -5,7 +5,8 @@ the lower-cased text, n = 1 to 3: k(x, y) counts the n-grams present in both,
 divided by the root of k(x, x) k(y, y). A Nystrom map through ``LANDMARKS``
 landmarks a language turns it into one-versus-rest kernel ridge regression that
 is trained on a bounded, hash-ordered sample (``TRAIN_PER_LANG`` documents a
-language, the documented bound). Since k(x, landmark) is a product of presence
+language, the documented bound; every label of the table gets a model, so the
+driver's memory grows with the number of labels). Since k(x, landmark) is a product of presence
 rows, all landmark columns and regression weights fold into one matrix; scoring
 is presence matrix times that matrix, a batch at a time, over whole texts.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import table
 
-TRAIN_PER_LANG, LANDMARKS, MAX_LANGS = 400, 48, 256
+TRAIN_PER_LANG, LANDMARKS = 400, 48
 RIDGE, MIN_SCORE = 1e-2, -0.3
 NOTHING = -1.0  # every score of a text that shares no n-gram with any landmark
 GROUP = 128  # documents a batch of the matrix product
@@ -111,7 +112,7 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
 def training_sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
     """(lang, text), about ``per_lang`` a language, of those rows whose ids hash lowest."""
     known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and text != ''")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.25 * per_lang / r["n"]))])

@@ -179,3 +179,10 @@ def test_lines(text):
     assert doc.tolist() == [0] * len(lines) + [2] * len(lines)
     assert np.isfinite(feats).all()
     assert K.CHUNK_BYTES > 0
+
+
+def test_every_label_gets_a_model(spark):
+    rows = [(i, f"tag-{i % 300}", f"text{i % 300} of label {i % 300}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(langid.training_sample(docs))
+    assert model.langs == sorted({r[1] for r in rows})
