@@ -1,17 +1,24 @@
 """Personal data: keyed, type-consistent surrogates for detected entities.
 
 Types: e-mail, IPv4, payment card (13 to 19 digits), phone, US social security
-number, IBAN, access keys and assigned secrets, and names after an honorific.
+number, IBAN, access keys and assigned secrets, names after an honorific, and
+every other place in the same text where a word of such a name stands with a
+capital first letter. Cards, phones and social security numbers may be written in
+the decimal digits of any script and keep that script.
 
 Distinctness. Everything but names goes through a keyed permutation (a Feistel
 network over the strings of the same format, with cycle walking): digits stay
 digits, letters keep their case, separators stay, the check digit of a card and
-of an IBAN stays as right or wrong as it was, a private address stays private.
+of an IBAN stays as right or wrong as it was, a private address stays private. Texts
+of over ``BLOCK`` signs go block by block, each block's permutation keyed by what
+stands before it.
 Two entities of a format can't share a surrogate, however many there are, and
 nothing has to be looked up, so replacement is one map-only pass.
 
 Names. Given names map to given names of the honorific's gender and the name's
-script, family names to family names of the script, each by a keyed draw.
+script, family names to family names of the script, each by a keyed draw; a name
+in capitals gets one in capitals. After an honorific of no gender a given name has
+the gender that the corpus's other honorifics give that word, if they agree.
 Draws can collide: all distinct names of the corpus are gathered (names only),
 and while two share a surrogate, or a surrogate is itself a name in the corpus,
 all but the alphabetically first draw again from a longer range. The rare names
@@ -19,13 +26,16 @@ that drew more than once are broadcast if there are at most ``MAX_REDRAWN``;
 beyond that they are joined to the texts that hold them.
 
 Coreference. A surrogate depends on the key, the type and the normalised entity
-alone (case, and a phone's or card's separators, don't count), so an entity has
-the same surrogate in every document and on every executor.
+alone (case, a phone's or card's separators and the digits' script don't count),
+so an entity has the same surrogate in every document and on every executor. The
+key is the session's ``rowloom.pii.key``; where that is unset a built-in key, which
+anyone can know, is used with a warning.
 
 Defined cases. Null text stays null, empty text empty, both with 0 entities.
 Null doc_id: the row is treated as any other. Repeated rows get equal results.
 Overlapping entities: the leftmost wins, at one place the type named first
-above. Empty table: empty result. Other columns are carried through untouched
+above. Every sign that isn't part of an entity stays as it is, whatever its script;
+time is linear in the text's length, with or without white space. Empty table: empty result. Other columns are carried through untouched
 by ``replace_pii``. Texts are processed whole.
 """
 
@@ -34,6 +44,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import warnings
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +59,8 @@ from .shared import cut, table
 
 DEFAULT_KEY = "rowloom-surrogates"
 MAX_REDRAWN = 100_000
+BLOCK = 64
+PARTS = 8  # hyphenated parts of a name's word that its bare repeats are looked up by
 
 TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Signor", "Г-н", "Господин", "Κύριος"],
@@ -57,22 +70,26 @@ TITLES = {
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
 _UPPER = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c)) == "Lu") + "".join(chr(c) for c in range(0x370, 0x530) if unicodedata.category(chr(c)) == "Lu")
+#: What the corpus settled about a given name after an honorific of no gender, beside the redraws.
+_SETTLED = {-1: "m", -2: "f"}
 _PY_NAME = rf"[{_UPPER}](?:[^\W\d_]|['’\-\u0300-\u036f])*[^\W\d_]"
 
 _DETECT = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9\-]))"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))"
+    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\d))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))"
     r"|(?P<card>(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\w.])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}|\+\d{8,15})(?![\w\-]))"
     r"|(?P<key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk_live_|sk-|xox[abp]-)[A-Za-z0-9_\-]{16,})"
-    r"|(?i:(?<![A-Za-z0-9])(?:\w*api[_\-]?key|\w*secret|\w*token|passw(?:or)?d|pwd|access[_\-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_\-.=]{8,})"
+    r"|(?i:(?<!\w)(?:\w*api[_\-]?key|\w*secret|\w*token|passw(?:or)?d|pwd|access[_\-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_\-.=]{8,})"
     rf"|(?P<title>(?<!\w)(?:{_TITLE}))\.?[ \xa0](?P<name>{_PY_NAME}(?:[ \xa0]{_PY_NAME}){{0,2}})(?!\w)"
 )
+_JOINT = re.compile("['’\\-]")
+_CAPITAL = re.compile(rf"(?<![\w]){_PY_NAME}(?!\w)")
 #: Without one of these a text has no entity; RE2 looks for them before anything else is done.
 _TITLED = rf"(?:{_TITLE})\.?[ \x{{a0}}]"
-_HINT = rf"[0-9@]|(?i:key|secret|token|passw|pwd)|{_TITLED}"
+_HINT = rf"[\p{{Nd}}@]|(?i:key|secret|token|passw|pwd)|{_TITLED}"
 
 _GIVEN = {
     ("LATIN", "m"): ["Adrian", "Bruno", "Casper", "Dario", "Emil", "Felix", "Gideon", "Hugo", "Ivo", "Jonas", "Karl", "Leon", "Marius", "Nils", "Oskar", "Pablo"],
@@ -99,6 +116,8 @@ def _draw(key: bytes, *parts: str, size: int = 8) -> int:
 
 def permute(key: bytes, tweak: str, x: int, size: int, valid=None) -> int:
     """A keyed permutation of range(size); with ``valid``, of those x that it holds for."""
+    if not 0 <= x < size or (valid is not None and not valid(x)):
+        raise ValueError("x is not among what is permuted")
     if size < 2:
         return x
     bits = max(2, (size - 1).bit_length())
@@ -107,19 +126,27 @@ def permute(key: bytes, tweak: str, x: int, size: int, valid=None) -> int:
     while True:
         left, right = x >> half, x & mask
         for i in range(8):
-            left, right = right, left ^ (_draw(key, tweak, str(size), str(i), str(right), size=width) & mask)
+            left, right = right, left ^ (_draw(key, tweak, f"{size:x}", str(i), f"{right:x}", size=width) & mask)
         x = left << half | right
         if x < size and (valid is None or valid(x)):
             return x
 
 
 def _classes(text: str) -> list[tuple[int, int]]:
-    return [(10, 48) if c.isdigit() else (26, 97) if "a" <= c <= "z" else (26, 65) if "A" <= c <= "Z" else (1, ord(c)) for c in text]
+    return [(10, 48) if "0" <= c <= "9" else (26, 97) if "a" <= c <= "z" else (26, 65) if "A" <= c <= "Z" else (1, ord(c)) for c in text]
 
 
 def permute_text(key: bytes, tweak: str, text: str, hexadecimal: bool = False, valid=None) -> str:
     """A keyed permutation of the strings of text's format: digits, small and capital letters
     stay such, all else stays. hexadecimal: digits and a to f are one class."""
+    if len(text) > BLOCK:
+        # Formats that ask for more are shorter.
+        parts, before = [], hashlib.sha256(f"{tweak}:{len(text)}:{hexadecimal}".encode())
+        for at in range(0, len(text), BLOCK):
+            block = text[at : at + BLOCK]
+            parts.append(permute_text(key, f"{tweak}:{before.hexdigest()}", block, hexadecimal))
+            before.update(block.encode())
+        return "".join(parts)
     if hexadecimal:
         n = int(text, 16)
         return format(permute(key, f"{tweak}:x{len(text)}", n, 16 ** len(text)), f"0{len(text)}x")
@@ -144,6 +171,18 @@ def _refill(template: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in template)
 
 
+def plain_digits(text: str) -> str:
+    """text with decimal digits of other scripts as ASCII ones."""
+    return text if text.isascii() else "".join(c if (d := unicodedata.decimal(c, None)) is None else str(d) for c in text)
+
+
+def in_script_of(template: str, digits: str) -> str:
+    """digits, sign for sign in the script of the template's."""
+    if template.isascii():
+        return digits
+    return "".join(new if old.isascii() or (d := unicodedata.decimal(old, None)) is None else chr(ord(old) - d + int(new)) for old, new in zip(template, digits, strict=True))
+
+
 def luhn(digits: str) -> int:
     """The check digit for the digits before it."""
     total = 0
@@ -242,6 +281,11 @@ def name_surrogate(key: bytes, kind: str, word: str, attempt: int = 0) -> str:
     return f"{first}-{tail.capitalize()}"
 
 
+def in_case_of(template: str, name: str) -> str:
+    """name, in capitals if the template is."""
+    return name.upper() if len(template) > 1 and template.isupper() else name
+
+
 def name_parts(title: str, name: str) -> list[tuple[str, str]]:
     """(kind, word) of each word: the last is the family name, those before are given names."""
     words = re.split("[ \xa0]", name)
@@ -258,28 +302,62 @@ class Replacer:
         if kind == "iban":
             flat = text.replace(" ", "")
             return _iban(self.key, text) if _mod97(flat[4:] + flat[:4]) == 1 else None
-        made = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "key": _access_key, "secret": _secret}
-        if kind == "ssn":
-            return permute_text(self.key, "ssn", text)
-        return made[kind](self.key, text)
+        made = {"email": _email, "ip": _ip, "key": _access_key, "secret": _secret}
+        if kind in made:
+            return made[kind](self.key, text)
+        numbers = {"card": _card, "phone": _phone, "ssn": lambda key, t: permute_text(key, "ssn", t)}
+        return in_script_of(text, numbers[kind](self.key, plain_digits(text)))
+
+    def _name(self, kind: str, word: str, redrawn: dict[tuple[str, str], int]) -> str:
+        low = word.lower()
+        if kind == "n" and (gender := redrawn.get((kind, low), 0)) < 0:
+            kind = _SETTLED[gender]
+        return in_case_of(word, name_surrogate(self.key, kind, word, redrawn.get((kind, low), 0)))
 
     def text(self, text: str, redrawn: dict[tuple[str, str], int] | None = None) -> tuple[str, int]:
         redrawn = self.redrawn if redrawn is None else redrawn
-        out, at, n = [], 0, 0
+        spans: list[tuple[int, int, str]] = []
+        kinds: dict[str, str] = {}
         for m in _DETECT.finditer(text):
             kind = m.lastgroup
             if kind == "name":
-                new = m["name"]
-                for part, word in name_parts(m["title"], new):
-                    sub = name_surrogate(self.key, part, word, redrawn.get((part, word.lower()), 0))
-                    new = re.sub(rf"(?<!\w){re.escape(word)}(?!\w)", sub, new, count=1)
-            else:
-                new = self.one(kind, m[kind])
-                if new is None:
-                    continue
-            out += [text[at : m.start(kind)], new]
-            at, n = m.end(kind), n + 1
-        return ("".join([*out, text[at:]]) if n else text), n
+                parts = name_parts(m["title"], m["name"])
+                at, out = m.start(kind), []
+                for part, word in parts:
+                    # The sign between two words stays.
+                    out += [self._name(part, word, redrawn), text[at + len(word) : at + len(word) + 1]]
+                    at += len(word) + 1
+                    kinds.setdefault(word.lower(), part)
+                spans.append((*m.span(kind), "".join(out[:-1])))
+            elif (new := self.one(kind, m[kind])) is not None:
+                spans.append((*m.span(kind), new))
+        if kinds:
+            spans = self._repeats(text, spans, kinds, redrawn)
+        out, at = [], 0
+        for start, end, new in spans:
+            out += [text[at:start], new]
+            at = end
+        return ("".join([*out, text[at:]]) if spans else text), len(spans)
+
+    def _repeats(self, text: str, spans: list[tuple[int, int, str]], kinds: dict[str, str], redrawn: dict[tuple[str, str], int]) -> list[tuple[int, int, str]]:
+        """spans and those between them where a name's word stands by itself."""
+        more, at = [], 0
+        for start, end in [*((a, b) for a, b, _ in spans), (len(text), len(text))]:
+            for m in _CAPITAL.finditer(text, at, start):
+                cuts = [m.start(), *(x.end() for x in _JOINT.finditer(text, *m.span()))]
+                ends = [*(x.start() for x in _JOINT.finditer(text, *m.span())), m.end()]
+                # The longest run of parts that is such a word, then what follows it.
+                i = 0
+                while i < len(cuts):
+                    for j in range(min(len(ends), i + PARTS) - 1, i - 1, -1):
+                        word = text[cuts[i] : ends[j]]
+                        if word[:1].isupper() and (kind := kinds.get(word.lower())) is not None:
+                            more.append((cuts[i], ends[j], self._name(kind, word, redrawn)))
+                            i = j
+                            break
+                    i += 1
+            at = end
+        return sorted([*spans, *more])
 
     def column(self, column: pa.Array, redrawn: list | None = None) -> tuple[pa.Array, np.ndarray]:
         counts = np.zeros(len(column), np.int32)
@@ -315,9 +393,24 @@ def _spoken_names(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return docs.select("text").mapInArrow(K.by_chunk(work), ", ".join(f"{c} string" for c in names))
 
 
+def gathered_names(docs: DataFrame) -> DataFrame:
+    """(kind, word): the distinct name words of docs."""
+    return cut(_spoken_names(docs).distinct())
+
+
+def settled_genders(names: DataFrame) -> DataFrame:
+    """(kind, word, attempt) of given names of kind n that otherwise have one gender; attempt is
+    its number in ``_SETTLED``."""
+    seen = names.where("kind != 'family'").groupBy("word").agg(*(F.max((F.col("kind") == k).cast("int")).alias(k) for k in "nmf"))
+    return seen.where("n = 1 and m + f = 1").select(F.lit("n").alias("kind"), "word", F.when(F.col("m") == 1, -1).otherwise(-2).alias("attempt"))
+
+
 def redrawn_names(docs: DataFrame, key: str) -> DataFrame:
-    """(kind, word, attempt) of those names that needed more than one draw to be distinct."""
+    """(kind, word, attempt) of those names that needed more than one draw to be distinct.
+    docs: documents, or the names gathered from them."""
     secret = key.encode()
+    gathered = gathered_names(docs) if "text" in docs.columns else docs
+    settled = settled_genders(gathered).select("kind", "word")
 
     @F.pandas_udf("string")
     def draw(kind, word, attempt):
@@ -325,7 +418,8 @@ def redrawn_names(docs: DataFrame, key: str) -> DataFrame:
 
         return pd.Series([name_surrogate(secret, k, w, int(a)).lower() for k, w, a in zip(kind, word, attempt, strict=True)], dtype="object")
 
-    names = cut(_spoken_names(docs).select("kind", "word", F.lit(0).alias("attempt")).distinct().withColumn("sub", draw("kind", "word", "attempt")))
+    drawn = gathered.join(settled, ["kind", "word"], "left_anti").withColumn("attempt", F.lit(0))
+    names = cut(drawn.withColumn("sub", draw("kind", "word", "attempt")))
     while True:
         # kind and attempt shape a surrogate, so only equal surrogates of a kind can collide.
         firsts = names.groupBy("kind", "sub").agg(F.min("word").alias("first"), F.count("*").alias("n"))
@@ -340,7 +434,8 @@ def redrawn_names(docs: DataFrame, key: str) -> DataFrame:
 
 def _replaced(docs: DataFrame, key: str, count: str, max_redrawn: int) -> DataFrame:
     """docs with surrogates in text, and the number of entities in the column ``count``."""
-    redrawn = redrawn_names(docs, key)
+    gathered = gathered_names(docs)
+    redrawn = redrawn_names(gathered, key).unionByName(settled_genders(gathered))
     names = docs.columns
     at = names.index("text")
     some = [(r["kind"], r["word"], r["attempt"]) for r in redrawn.limit(max_redrawn + 1).collect()]
@@ -349,7 +444,8 @@ def _replaced(docs: DataFrame, key: str, count: str, max_redrawn: int) -> DataFr
         source, own = docs, None
     else:
         own, hashed = K.fresh(names, "redrawn"), K.fresh(names, "text_hash")
-        spoken = _spoken_names(docs, True).join(redrawn, ["kind", "word"])
+        # By the word alone: what is settled about a given name refers to another kind.
+        spoken = _spoken_names(docs, True).select("word", "text").join(redrawn, "word")
         per_text = spoken.groupBy(F.sha2("text", 256).alias(hashed)).agg(F.collect_set(F.struct("kind", "word", "attempt")).alias(own))
         source = docs.withColumn(hashed, F.sha2("text", 256)).join(per_text, hashed, "left").select(*[docs[f"`{c}`"] for c in names], own)
         shared = None
@@ -366,16 +462,24 @@ def _replaced(docs: DataFrame, key: str, count: str, max_redrawn: int) -> DataFr
     return source.mapInArrow(K.by_chunk(work), T.StructType([*docs.schema.fields, T.StructField(count, T.IntegerType())]))
 
 
-def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY, max_redrawn: int = MAX_REDRAWN) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The session's key; the built-in one, which hides nothing from who knows it, only with a warning."""
+    key = spark.conf.get("rowloom.pii.key", None)
+    if key is None:
+        warnings.warn("rowloom.pii.key isn't set: surrogates are drawn with a key that is public", stacklevel=3)
+    return DEFAULT_KEY if key is None else key
+
+
+def replace_pii(docs: DataFrame, key: str | None = None, max_redrawn: int = MAX_REDRAWN) -> DataFrame:
     """docs with surrogates in place of the entities in text; all else as it was."""
     count = K.fresh(docs.columns, "entities")
-    return _replaced(docs, key, count, max_redrawn).select(*[f"`{c}`" for c in docs.columns])
+    return _replaced(docs, session_key(docs.sparkSession) if key is None else key, count, max_redrawn).select(*[f"`{c}`" for c in docs.columns])
 
 
-def surrogates(docs: DataFrame, key: str = DEFAULT_KEY, max_redrawn: int = MAX_REDRAWN) -> DataFrame:
+def surrogates(docs: DataFrame, key: str | None = None, max_redrawn: int = MAX_REDRAWN) -> DataFrame:
     """(doc_id, text, entities) of every row of docs."""
-    return _replaced(docs.select("doc_id", "text"), key, "entities", max_redrawn)
+    return _replaced(docs.select("doc_id", "text"), session_key(docs.sparkSession) if key is None else key, "entities", max_redrawn)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(table(spark, sf_dir, "documents"), spark.conf.get("rowloom.pii.key", DEFAULT_KEY))
+    return surrogates(table(spark, sf_dir, "documents"))
