@@ -9,8 +9,14 @@ which the pending bytes go on to be the start of some token; the tokens before
 those places, as far as all of them agree, are certain whatever follows, and are
 emitted. So lookahead is bounded by the longest token. States and transitions
 are made when first needed and kept in a hash table of a fixed size, which is
-emptied when full. All distinct pieces of a chunk run in lockstep: a numpy step
-is one byte of each.
+emptied but for the states in use before it gets too full. All distinct pieces of
+a chunk run in lockstep: a numpy step is one byte of each.
+
+A piece of over ``LANE`` bytes is cut into lanes that run side by side, each as if
+the piece began there. A state is nothing but the pending bytes, so a lane is right
+from the first place on where the true run, which goes on from the lane before it,
+has as many bytes pending; up to there the true run's tokens are taken. A lane
+where that doesn't happen is walked byte by byte.
 
 Decoding. ``StreamDecoder`` turns ids into text as they come: a UTF-8 state
 machine holds back the bytes of a character that isn't whole; what can't become
@@ -42,6 +48,8 @@ from .shared import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLOTS = 1 << 19
+LANE = 256
+STEP = 4096  # ids that come at once in streaming decode
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -126,16 +134,29 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
+        self.outputs: list[tuple[int, ...]] = [()]
+        self.out_number: dict[tuple[int, ...], int] = {(): 0}
+        self.known: dict[bytes, tuple[int, ...]] = {b"": ()}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drops states and transitions; emissions keep their numbers."""
         self.key = np.full(self.slots, -1, np.int64)
         self.to, self.out = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
         self.filled = 0
+        self.walked: dict[int, tuple[int, int]] = {}
         self.states: list[bytes] = [b""]
         self.number = {b"": 0}
-        self.outputs: list[tuple[int, ...]] = [()]
-        self.out_number: dict[tuple[int, ...], int] = {(): 0}
-        self.final: list[int] = [0]
-        self.known: dict[bytes, tuple[int, ...]] = {b"": ()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.final = np.zeros(1024, np.int32)  # what a state emits at a piece's end
+        self.due = np.zeros(1024, np.int32)  # its number of pending bytes
+
+    def _renumber(self, state: np.ndarray) -> np.ndarray:
+        """Empties the table; the given states' new numbers."""
+        some, which = np.unique(state, return_inverse=True)
+        kept = [self.states[i] for i in some.tolist()]
+        self._forget()
+        return np.array([self._state(x) for x in kept], np.int64)[which]
 
     def tokens(self, piece: bytes) -> tuple[int, ...]:
         """The encoding of a piece, from those of its beginnings: its last token is the one that
@@ -165,9 +186,12 @@ class Transducer:
 
     def _state(self, pending: bytes) -> int:
         if pending not in self.number:
-            self.number[pending] = len(self.states)
+            n = len(self.states)
+            if n == len(self.due):
+                self.final, self.due = (np.concatenate([x, np.zeros_like(x)]) for x in (self.final, self.due))
+            self.number[pending] = n
             self.states.append(pending)
-            self.final.append(self._emission(self.tokens(pending)))
+            self.final[n], self.due[n] = self._emission(self.tokens(pending)), len(pending)
         return self.number[pending]
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
@@ -203,48 +227,165 @@ class Transducer:
             at[open_] = (at[open_] + 1) % self.slots
         return found
 
-    def _insert(self, key: int) -> None:
+    def _insert(self, key: int, at: int) -> None:
+        if len(self.known) > 2 * self.slots:
+            self.known = {b"": ()}
+        if len(self.pairs) > 2 * self.slots:
+            self.pairs = {}
         to, out = self.step(key >> 8, key & 255)
-        at = int(self._slot(np.array([key]))[0])
         while self.key[at] >= 0:
             at = (at + 1) % self.slots
         self.key[at], self.to[at], self.out[at] = key, to, out
         self.filled += 1
 
-    def run(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many of them) of the pieces buf[start:end], in order."""
+    def _advance(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, emissions) of at most a quarter of ``slots`` states. Numbers of states
+        from before hold no longer if the table had to be emptied."""
+        key = state * 256 + byte
+        at = self._find(key)
+        if (at < 0).any():
+            new = np.unique(key[at < 0])
+            if self.filled + len(new) > self.slots // 4 * 3:
+                key = self._renumber(state) * 256 + byte
+                new = np.unique(key)
+            for k, slot in zip(new.tolist(), self._slot(new).tolist(), strict=True):
+                self._insert(k, slot)
+            at = self._find(key)
+        return self.to[at].astype(np.int64), self.out[at]
+
+    def _lockstep(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray | None = None, sync: np.ndarray | None = None, record: np.ndarray | None = None):
+        """Runs lanes of falling size: (their pending bytes at the end, what they emit there,
+        and who emitted what when). record: takes the pending bytes after each byte. sync: such
+        a record of other runs; a lane ends where it agrees with it, and its place there is
+        returned as well, its size if it never does."""
         n = len(start)
-        if self.filled > self.slots // 2 or len(self.known) + len(self.pairs) > 2 * self.slots:
-            self.reset()
-        order = np.argsort(start - end, kind="stable")
-        start, size = start[order], (end - start)[order]
-        live = np.searchsorted(-size, -np.arange(size[0] if n else 0), "left")
-        state = np.zeros(n, np.int64)
+        due, last, met = np.zeros(n, np.int64), np.zeros(n, np.int64), size.copy()
+        lane = np.arange(n)
+        state = np.zeros(n, np.int64) if state is None else state
         who, when, what = [], [], []
-        for i, m in enumerate(live):
-            key = state[:m] * 256 + buf[start[:m] + i]
-            at = self._find(key)
-            if (at < 0).any():
-                for k in np.unique(key[at < 0]):
-                    self._insert(int(k))
-                at = self._find(key)
-            state[:m] = self.to[at]
-            out = self.out[at]
+        for i in range(int(size[0]) if n else 0):
+            state, out = self._advance(state, buf[start[lane] + i])
             some = np.flatnonzero(out)
-            who.append(some)
+            who.append(lane[some])
             when.append(np.full(len(some), i))
             what.append(out[some])
-        who.append(np.arange(n))
-        when.append(np.full(n, np.iinfo(np.int32).max))
-        what.append(np.array(self.final, np.int64)[state])
-        who, what, when = order[np.concatenate(who)], np.concatenate(what), np.concatenate(when)
-        by = np.lexsort((when, who))
-        who, what = who[by], what[by]
+            pending = self.due[state]
+            if record is not None:
+                record[lane, i] = pending
+            ended = size[lane] == i + 1
+            if sync is not None:
+                agree = pending == sync[lane, i]
+                met[lane[agree]] = i
+                ended |= agree
+            if ended.any():
+                due[lane[ended]], last[lane[ended]] = pending[ended], self.final[state[ended]]
+                lane, state = lane[~ended], state[~ended]
+            if not len(lane):
+                break
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return due, last, met, join(who), join(when), join(what)
+
+    def _walk(self, lane: bytes, pending: bytes, sync: list[int]) -> tuple[int, bytes, list[tuple[int, int]]]:
+        """One lane byte by byte: (where it met sync or its size, the bytes pending, emissions)."""
+        state, found = self._state(pending), []
+        for i, byte in enumerate(lane):
+            key = state << 8 | byte
+            step = self.walked.get(key)
+            if step is None:
+                if len(self.states) > 2 * self.slots or len(self.walked) > self.slots:
+                    key = int(self._renumber(np.array([state]))[0]) << 8 | byte
+                step = self.walked[key] = self.step(key >> 8, key & 255)
+            state, out = step
+            if out:
+                found.append((i, out))
+            if self.due[state] == sync[i]:
+                return i, b"", found
+        return len(lane), self.states[state], found
+
+    def run(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them) of the pieces buf[start:end], in order."""
+        n = len(start)
+        if self.filled > self.slots // 2 or len(self.outputs) > 2 * self.slots:
+            self.reset()
+        if len(self.states) > 2 * self.slots:
+            self._forget()
+        # Lanes: piece, place in it, bytes.
+        lanes = np.maximum(-(-(end - start) // LANE), 1)
+        of = np.repeat(np.arange(n), lanes)
+        place = (np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        begin = start[of] + place
+        size = np.minimum(end[of] - begin, LANE)
+        later = place > 0
+        record = np.zeros((int(later.sum()), LANE), np.int32)
+        row = np.cumsum(later) - 1
+        due, last = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+        most = max(1, self.slots // 4)
+        who, when, what = [], [], []
+        for part in np.split(np.arange(len(of)), np.arange(most, len(of), most)) if len(of) else []:
+            for group in (part[~later[part]], part[later[part]]):
+                group = group[np.argsort(-size[group], kind="stable")]
+                taken = np.zeros((len(group), LANE), np.int32) if len(group) and later[group[0]] else None
+                d, f, _, a, b, c = self._lockstep(buf, begin[group], size[group], record=taken)
+                due[group], last[group] = d, f
+                if taken is not None:
+                    record[row[group]] = taken
+                who.append(group[a])
+                when.append(b)
+                what.append(c)
+        met = np.full(len(of), -1)  # a lane's own emissions count after this byte
+        fix = np.flatnonzero(later)
+        if len(fix):
+            own = [np.concatenate(x) for x in (who, when, what)]
+            met[fix], more = self._stitch(buf, begin, size, due, last, fix, record)
+            keep = own[1] > met[own[0]]
+            who, when, what = ([x[keep], y] for x, y in zip(own, more, strict=True))
+        tail = np.cumsum(lanes) - 1
+        who.append(tail)
+        when.append(np.full(n, LANE))
+        what.append(last[tail])
+        lane, what, when = np.concatenate(who), np.concatenate(what), np.concatenate(when)
+        by = np.lexsort((when, lane))
+        lane, what = lane[by], what[by]
         length = np.array([len(x) for x in self.outputs], np.int64)
         flat = np.array([i for x in self.outputs for i in x], np.int32)
         k = length[what]
         ids = flat[_spans((np.cumsum(length) - length)[what], k)]
-        return ids, np.bincount(who, k, n).astype(np.int64)
+        return ids, np.bincount(of[lane], k, n).astype(np.int64)
+
+    def _stitch(self, buf: np.ndarray, begin: np.ndarray, size: np.ndarray, due: np.ndarray, last: np.ndarray, fix: np.ndarray, record: np.ndarray):
+        """The true runs through the lanes ``fix``, those that don't begin their piece: where each
+        met its lane, and (lane, when, what) of what they emitted. due and last are put right."""
+        order = np.argsort(-size[fix], kind="stable")
+        most = max(1, self.slots // 4)
+        met = np.zeros(len(fix), np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(fix), most):
+            part = order[at : at + most]
+            lane = fix[part]
+            # As if every lane before had ended as it did alone; those that didn't are walked below.
+            held = [buf[b - d : b].tobytes() for b, d in zip(begin[lane].tolist(), due[lane - 1].tolist(), strict=True)]
+            state = np.array([self._state(x) for x in held], np.int64)
+            _, _, m, a, b, c = self._lockstep(buf, begin[lane], size[lane], state, record[part])
+            met[part] = m
+            found.append((part[a], b, c))
+        who, when, what = (np.concatenate(x) for x in zip(*found, strict=True))
+        if (never := np.flatnonzero(met == size[fix])).size:
+            redone: dict[int, list[tuple[int, int]]] = {}
+            where = {lane: i for i, lane in enumerate(fix.tolist())}
+            for lane in fix[never].tolist():
+                # On through the piece's next lanes, until one is met.
+                while (i := where.get(lane)) is not None and i not in redone:
+                    held = buf[begin[lane] - due[lane - 1] : begin[lane]].tobytes()
+                    met[i], pending, redone[i] = self._walk(buf[begin[lane] : begin[lane] + size[lane]].tobytes(), held, record[i].tolist())
+                    if met[i] < size[lane]:
+                        break
+                    due[lane], last[lane] = len(pending), self.final[self._state(pending)]
+                    lane += 1
+            stays = ~np.isin(who, list(redone))
+            extra = [(i, w, o) for i, x in redone.items() for w, o in x]
+            more = np.array(extra, np.int64).reshape(-1, 3).T
+            who, when, what = (np.concatenate([x[stays], y]) for x, y in zip((who, when, what), more, strict=True))
+        return met, (fix[who], when, what)
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -313,7 +454,7 @@ class StreamDecoder:
         self.codec, self.held = codec, b""
 
     def feed(self, ids: Iterable[int]) -> str:
-        data = self.held + self.codec.decode(np.fromiter(ids, np.int64)).tobytes()
+        data = self.held + self.codec.decode(np.asarray(ids, np.int64)).tobytes()
         cut = len(data)
         for back in range(1, min(3, len(data)) + 1):
             if data[-back] & 0xC0 != 0x80:
@@ -333,8 +474,14 @@ class StreamDecoder:
         return held.decode("utf-8", "replace")
 
 
+def decoded(codec: Codec, ids: np.ndarray, step: int = STEP) -> str:
+    """The text of ids that come ``step`` at a time."""
+    stream = StreamDecoder(codec)
+    return "".join([*(stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)), stream.end()])
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids, n_tokens, exact): exact says that decoding gives the text's bytes back."""
+    """(doc_id, ids, n_tokens, exact): exact says that streaming decode gives the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     made: dict[str, Codec] = {}
 
@@ -345,12 +492,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
         text = K.column_of(batch, "text")
         buf, offs = K.text_buffer(text)
         ids, n = codec.encode(buf, offs)
-        back = codec.decode(ids)
-        at = np.append(0, np.cumsum(n))
-        sizes = np.append(0, np.cumsum(codec.size[ids]))[at]
-        exact = np.diff(sizes) == np.diff(offs)
-        if len(back) != len(buf) or not (back == buf).all():
-            exact = np.array([np.array_equal(back[a:b], buf[c:d]) for a, b, c, d in zip(sizes[:-1], sizes[1:], offs[:-1], offs[1:], strict=True)])
+        at = np.append(0, np.cumsum(n)).tolist()
+        # Through the streaming decoder, as whoever reads the ids would.
+        exact = np.array([decoded(codec, ids[a:b]) == t.as_py() for a, b, t in zip(at[:-1], at[1:], text, strict=True)], bool)
         null = text.is_null().to_numpy(zero_copy_only=False)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null))
         return pa.RecordBatch.from_arrays([K.column_of(batch, "doc_id"), lists, pa.array(n, mask=null), pa.array(exact, mask=null)], ["doc_id", "ids", "n_tokens", "exact"])
@@ -359,7 +503,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(K.by_chunk(work), f"doc_id {kind}, ids array<int>, n_tokens long, exact boolean")
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY, step: int = 4096) -> DataFrame:
+def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY, step: int = STEP) -> DataFrame:
     """(doc_id, text) from (doc_id, ids), each row through a StreamDecoder, ``step`` ids at a time."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
@@ -371,9 +515,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY, step: int
                 if not row.is_valid:
                     out.append(None)
                     continue
-                ids, stream = row.values.to_numpy(), StreamDecoder(codec)
-                parts = [stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)]
-                out.append("".join([*parts, stream.end()]))
+                out.append(decoded(codec, row.values.to_numpy(), step))
             yield pa.RecordBatch.from_arrays([K.column_of(batch, "doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
