@@ -6,18 +6,24 @@ word bigrams. Two texts are near copies when the former differ in at most
 always. Groups are the connected components; the row with the least
 (doc_id, nulls last) of a group stays.
 
-Search. Exact at every size: every fingerprint meets every other. Distinct
-fingerprints are dealt by hash over shards of at most ``SHARD_BYTES``, and each
-pair of shards is one task that holds both. A shard is a BK-tree of one level:
-its items are the children of a common root, keyed by their integer Hamming
-distance to it; a query follows only edges within the radius of its own distance
-to the root, and what hangs there is scanned with numpy. (Texts that aren't
-related lie near 64 bits apart, so deeper levels cut nothing off at radius 24 and
-cost more than a scan.) Work grows with the square of the number of distinct
-fingerprints; what crosses the network is one entry a fingerprint and shard.
-
-A task reports, for each fingerprint, the least one of its component within the
-two shards: spanning edges, so a thousand copies cost a thousand rows a task.
+Search. Every fingerprint is a query. A table is keyed by ``key_bits`` of the 128
+bits, drawn at random for it, and each of its buckets is a shard: a BK-tree of one
+level, whose items are the children of a common root, keyed by their integer Hamming
+distance to it. A query follows only edges within the radius of its own distance to
+the root, and what hangs there is scanned with numpy. (Texts that aren't related lie
+near 64 bits apart, so deeper levels cut nothing off at radius 24 and cost more than
+a scan.) ``key_bits`` grows with the logarithm of the number of distinct
+fingerprints, so that a shard holds some ``SHARD`` of them, and the number of tables
+is what a pair at a distance of exactly ``RADIUS`` needs to share a shard with
+probability ``RECALL``, whatever the data: recall is the same at every size, higher
+for nearer pairs, and 1 up to ``SHARD`` fingerprints, where one table of no bits
+holds all. Work and traffic grow with the power 1.3 of the input instead of 2.
+
+A shard of more than ``BLOCK`` fingerprints is cut into blocks, each pair of which is
+a task, so memory stays bounded. Within a task large groups are found first, by the
+neighbours of a few pivots, and aren't compared with themselves again. A task
+reports, for each fingerprint, the least one of its component there: spanning
+edges, so a thousand copies cost a thousand rows a task.
 
 Defined cases. Null text: no group, always kept. Text without a word: only an
 equal text is a copy. Repeated rows: copies of one another, one stays. Null
@@ -40,9 +46,9 @@ from .components import connected_components
 from .shared import cut, table
 
 RADIUS, CONFIRM = 24, 22
-SHARDS, SHARD_BYTES = 8, 8 << 20
-QUERIES, TILE = 64, 8192  # pairs compared at once
-TABLES = 24  # of sampled keys: only to measure what they would miss
+RECALL, SHARD, BLOCK = 0.99, 1 << 15, 1 << 17
+QUERIES, TILE, PIVOTS = 64, 8192, 16  # QUERIES x TILE pairs are compared at once
+TABLES = 24  # the number once used at every size: only to measure what it missed
 U = np.uint64
 
 
@@ -165,37 +171,73 @@ def shard_edges(node: np.ndarray, lo: np.ndarray, hi: np.ndarray, grams: np.ndar
     n, same = len(node), left == len(node)
     if not n:
         return node, node
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    pivots = np.random.default_rng(n).choice(n, PIVOTS, replace=False) if n > PIVOTS * QUERIES else np.zeros(0, np.int64)
+    for p in pivots:
+        near = np.flatnonzero((K.popcount(lo ^ lo[p]).astype(np.int64) + K.popcount(hi ^ hi[p]) <= radius) & (K.popcount(grams ^ grams[p]) <= confirm))
+        links.append((np.full(len(near), p), near))
+    group = np.full(n, -1)
+    if links:
+        root = _least_members(n, *(np.concatenate(x) for x in zip(*links, strict=True)))
+        group = np.where(np.bincount(root, minlength=n)[root] > QUERIES, root, -1)
     to_root = K.popcount(lo ^ lo[0]).astype(np.int64) + K.popcount(hi ^ hi[0])
-    order = np.concatenate([np.argsort(to_root[:left], kind="stable"), left + np.argsort(to_root[left:], kind="stable")])
-    node, lo, hi, grams, to_root = (x[order] for x in (node, lo, hi, grams, to_root))
-    first = 0 if same else left
-    edges = to_root[first:]
-    a, b, held = [], [], 0
-    for at in range(0, left, QUERIES):
-        to = min(at + QUERIES, left)
-        begin = first + int(np.searchsorted(edges, to_root[at] - radius))
-        end = first + int(np.searchsorted(edges, to_root[to - 1] + radius, "right"))
+
+    def by_group(side: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Each group's items, along the root's edges."""
+        side = side[np.lexsort((to_root[side], group[side]))]
+        cuts = np.flatnonzero(np.diff(group[side])) + 1
+        return [(int(group[x[0]]), x) for x in np.split(side, cuts) if len(x)]
+
+    ours = by_group(np.arange(left))
+    theirs = ours if same else by_group(np.arange(left, n))
+    held = 0
+    for k, (g, a) in enumerate(ours):
+        for h, b in theirs[k:] if same else theirs:
+            if g == h >= 0:
+                continue
+            for q, i in _near(lo, hi, grams, to_root, a, b, same and g == h, radius, confirm):
+                links.append((q, i))
+                held += len(q)
+                if held > 1 << 20:
+                    root = _least_members(n, *(np.concatenate(x) for x in zip(*links, strict=True)))
+                    linked = np.flatnonzero(root != np.arange(n))
+                    links, held = [(linked, root[linked])], 0
+    if not links:
+        return node[:0], node[:0]
+    root = _least_members(n, *(np.concatenate(x) for x in zip(*links, strict=True)))
+    linked = np.flatnonzero(root != np.arange(n))
+    return node[linked], node[root[linked]]
+
+
+def _near(lo: np.ndarray, hi: np.ndarray, grams: np.ndarray, to_root: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, radius: int, confirm: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs between items a and b, both along the root's edges; same: they are the same items."""
+    edge, la, lb = to_root[b], lo[a], lo[b]
+    for at in range(0, len(a), QUERIES):
+        to = min(at + QUERIES, len(a))
+        begin = int(np.searchsorted(edge, to_root[a[at]] - radius))
+        end = int(np.searchsorted(edge, to_root[a[to - 1]] + radius, "right"))
         for tile in range(max(begin, at) if same else begin, end, TILE):
             m = slice(tile, min(tile + TILE, end))
-            d = K.popcount(lo[at:to, None] ^ lo[None, m]).ravel()
+            d = K.popcount(la[at:to, None] ^ lb[None, m]).ravel()
             hit = np.flatnonzero(d <= radius)
             q, i = np.divmod(hit, m.stop - m.start)
-            q, i = q + at, i + tile
-            near = d[hit].astype(np.int64) + K.popcount(hi[q] ^ hi[i]) <= radius
-            q, i = q[near], i[near]
-            ok = (q < i) & (K.popcount(grams[q] ^ grams[i]) <= confirm)
-            a.append(q[ok])
-            b.append(i[ok])
-            held += len(a[-1])
-        if held > 1 << 20:
-            root = _least_members(n, np.concatenate(a), np.concatenate(b))
-            linked = np.flatnonzero(root != np.arange(n))
-            a, b, held = [linked], [root[linked]], 0
-    if not a:
-        return node[:0], node[:0]
-    root = _least_members(n, np.concatenate(a), np.concatenate(b))
-    linked = np.flatnonzero(root != np.arange(n))
-    return node[linked], node[root[linked]]
+            later = q + at < i + tile if same else np.ones(len(q), bool)
+            q, i, d = a[q[later] + at], b[i[later] + tile], d[hit[later]]
+            ok = (d.astype(np.int64) + K.popcount(hi[q] ^ hi[i]) <= radius) & (K.popcount(grams[q] ^ grams[i]) <= confirm)
+            if ok.any():
+                yield q[ok], i[ok]
+
+
+def shared_shard(key_bits: int, distance: int = RADIUS) -> float:
+    """The probability that fingerprints at a distance agree in a table's bits."""
+    return float(np.prod([(128 - distance - i) / (128 - i) for i in range(key_bits)]))
+
+
+def table_shape(count: int, radius: int = RADIUS, shard: int = SHARD) -> tuple[int, int]:
+    """(tables, key bits) for so many fingerprints."""
+    key_bits = max(0, (-(-count // max(shard, 1)) - 1).bit_length())
+    p = shared_shard(key_bits, radius)
+    return (1 if p == 1 else int(np.ceil(np.log(1 - RECALL) / np.log1p(-p)))), key_bits
 
 
 def table_bits(tables: int, key_bits: int) -> np.ndarray:
@@ -219,29 +261,35 @@ def table_keys(lo: np.ndarray, hi: np.ndarray, bits: np.ndarray) -> np.ndarray:
 _NAMES = ["node", "lo", "hi", "grams"]
 
 
-def near_edges(prints: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, least_shards: int = SHARDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def near_edges(prints: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(u, v): spanning edges over the nodes of ``prints`` (node, lo, hi, grams; distinct)."""
-    count = prints.count()
-    # Few shards suffice for memory when the table is small; some more give all cores work.
-    shards = max(1, -(-count * 32 // max(shard_bytes, 1 << 10)), min(least_shards, count >> 12))
-
-    def meet(batches):
-        held = [[K.column_of(batch, c).to_numpy() for c in ["shard", *_NAMES]] for batch in batches]
-        if not held:
-            return
-        shard, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(shard, kind="stable")
-        left = int((shard == shard.min()).sum())
+    tables, key_bits = table_shape(prints.count(), radius, shard)
+    bits, block = table_bits(tables, key_bits), max(block, 1 << 10)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                cols = [K.column_of(batch.slice(at, 4096), c).to_numpy() for c in _NAMES]
+                bucket = table_keys(cols[1].view(U), cols[2].view(U), bits)
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[:, t].view(np.int64), *cols)], ["bucket", *_NAMES])
+
+    def meet(task: pa.Table) -> pa.Table:
+        part, *cols = (task[c].to_numpy() for c in ["part", *_NAMES])
+        order = np.argsort(part, kind="stable")
+        left = int((part == part.min()).sum())
         u, v = (x.view(np.int64) for x in shard_edges(*(c[order].view(U) for c in cols), left, radius, confirm))
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
-
-    # Shards i <= j meet in task i * shards - i * (i - 1) / 2 + j - i.
-    dealt = prints.select(*_NAMES, F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    i, j = F.least("shard", "other"), F.greatest("shard", "other")
-    task = (i * shards - (i * (i - 1) / 2).cast("int") + j - i).cast("int")
-    tasks = each.select("shard", *_NAMES, task.alias("task")).repartitionById(shards * (shards + 1) // 2, F.col("task"))
-    return tasks.mapInArrow(meet, "u long, v long").distinct()
+        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+    entries = prints.select(*_NAMES).mapInArrow(keyed, "bucket long, node long, lo long, hi long, grams long")
+    # Blocks i <= j of a shard meet in task (bucket, i, j); all but the largest shards have one block.
+    large = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = cut(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    sized = entries.join(large, "bucket", "left") if not large.isEmpty() else entries.withColumn("blocks", F.lit(1))
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tasks = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *_NAMES)
+    return tasks.groupBy("bucket", "i", "j").applyInArrow(meet, "u long, v long").distinct()
 
 
 # -- groups -----------------------------------------------------------------

@@ -251,3 +251,103 @@ def test_itq_odd_cases(spark):
     assert got == {(0, 1): 1.0, (1, 8): 1.0}
     assert itq.near_pairs(df.where("false")).isEmpty()
     assert itq.near_pairs(df.where("vec_id = 2")).isEmpty()
+
+
+@pytest.mark.parametrize("key_bits", [0, 3, 8, 14, 21, 28])
+@pytest.mark.parametrize("distance", [12, 24])
+def test_recall_is_the_same_at_every_size(key_bits, distance):
+    """At 28 bits a table is for nine million million fingerprints."""
+    tables, bits = simhash_bk.table_shape(simhash_bk.SHARD << key_bits)
+    assert bits == key_bits
+    rng = np.random.default_rng(key_bits)
+    n = 600
+    code = rng.integers(0, 2, (n, 128), dtype=np.uint8)
+    other = code.copy()
+    for i in range(n):
+        other[i, rng.choice(128, distance, replace=False)] ^= 1
+    words = [np.packbits(x, axis=1, bitorder="little").view(np.uint64) for x in (code, other)]
+    chosen = simhash_bk.table_bits(tables, key_bits)
+    a, b = (simhash_bk.table_keys(np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1]), chosen) for w in words)
+    assert (a == b).any(1).mean() > 0.96
+
+
+def test_work_grows_less_than_the_square():
+    """Pairs compared a fingerprint: with 64 times as many, fewer than 8 times as many."""
+    def compared(count):
+        tables, bits = simhash_bk.table_shape(count)
+        return tables * count / 2**bits
+
+    for count in (1 << 20, 1 << 24, 1 << 30):
+        assert compared(count << 6) < 8 * compared(count)
+        assert simhash_bk.table_shape(count)[0] * 40 < 40 * 2 * (count / simhash_bk.SHARD) ** 0.5
+
+
+def brute_roots(lo, hi, grams, across=None):
+    near = (K.popcount(lo[:, None] ^ lo).astype(int) + K.popcount(hi[:, None] ^ hi) <= 24) & (K.popcount(grams[:, None] ^ grams) <= 22)
+    if across is not None:
+        side = np.arange(len(lo)) < across
+        near &= side[:, None] != side
+    return simhash_bk._least_members(len(lo), *np.nonzero(near))
+
+
+def scattered(rng, n, spread, width=128):
+    """n codes, each a centre with up to ``spread`` bits changed."""
+    code = np.repeat(rng.integers(0, 2, (1, width), dtype=np.uint8), n, 0)
+    for i in range(n):
+        code[i, rng.choice(width, rng.integers(0, spread + 1), replace=False)] ^= 1
+    return np.packbits(code, axis=1, bitorder="little").view(np.uint64)
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_shards_with_large_groups_by_brute_force(cross):
+    """Wide groups that chain, tight ones and singles; pivots must not lose a link."""
+    rng = np.random.default_rng(8)
+    parts = [scattered(rng, 900, 20), scattered(rng, 700, 3), *(scattered(rng, 12, 10) for _ in range(20)), rng.integers(0, 1 << 63, (400, 2), dtype=np.uint64)]
+    code = np.concatenate(parts)[rng.permutation(sum(map(len, parts)))]
+    lo, hi = np.ascontiguousarray(code[:, 0]), np.ascontiguousarray(code[:, 1])
+    grams = np.where(rng.random(len(lo)) < 0.9, np.uint64(0), np.uint64((1 << 40) - 1))
+    node = np.arange(len(lo), dtype=np.uint64)
+    left = 1000 if cross else len(lo)
+    u, v = simhash_bk.shard_edges(node, lo, hi, grams, left, 24, 22)
+    got = simhash_bk._least_members(len(lo), u.astype(int), v.astype(int))
+    if not cross:
+        assert (got == brute_roots(lo, hi, grams)).all()
+    else:  # links on one side may be there or not, those across all are
+        want = brute_roots(lo, hi, grams, left)
+        assert all(len(set(got[want == w])) == 1 for w in set(want.tolist()))
+        full = brute_roots(lo, hi, grams)
+        assert (full[u.astype(int)] == full[v.astype(int)]).all()
+
+
+def test_a_hundred_thousand_near_copies():
+    """Five thousand million near pairs, in bounded memory and time."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+    n = 100_000
+    lo, hi = np.full(n, centre[0]), np.full(n, centre[1])
+    for _ in range(5):
+        lo ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+        hi ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    started = time.time()
+    tracemalloc.start()
+    u, v = simhash_bk.shard_edges(np.arange(n, dtype=np.uint64), lo, hi, np.zeros(n, np.uint64), n, 24, 22)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert time.time() - started < 60
+    assert len(u) == n - 1
+
+
+def test_blocks_of_a_shard_find_what_one_block_finds(spark):
+    rng = np.random.default_rng(10)
+    code = np.concatenate([scattered(rng, 6, 8) for _ in range(500)])
+    cols = {"node": np.arange(len(code)), "lo": code[:, 0].view(np.int64), "hi": code[:, 1].view(np.int64), "grams": np.zeros(len(code), np.int64)}
+    prints = spark.createDataFrame(pa.table(cols)).repartition(3)
+    roots = []
+    for block in (0, simhash_bk.BLOCK):
+        e = simhash_bk.near_edges(prints, 24, 22, simhash_bk.SHARD, block).collect()
+        roots.append(simhash_bk._least_members(len(code), np.array([r["u"] for r in e]), np.array([r["v"] for r in e])))
+    assert (roots[0] == roots[1]).all()
+    assert len(set(roots[0].tolist())) == 500
