@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as N
 from ..functions.score import confidence
@@ -215,10 +216,17 @@ def app_upsert(incoming: DataFrame, existing: DataFrame, seq: str = "seq") -> Da
     Matching is order dependent: a row may match what an earlier row of the same
     batch inserted or filled. So rows that any chain of shared keys connects are
     folded together, in order, each chain in one group: exact, and as parallel
-    as the data allows. action: inserted, updated, or null for untouched rows.
-    New rows get null ids. Existing ids must be unique.
+    as the data allows. A group is folded through an index of its keys, in time in
+    proportion to its rows. action: inserted, updated, or null for untouched rows.
+    New rows get null ids. Existing ids must be unique and not null. A table without an id can't
+    be updated: every incoming row is inserted (UPS6).
     """
     columns = existing.columns
+    kinds = {f.name: f.dataType for f in existing.schema}
+    have = [c for c in incoming.columns if c in columns]
+    if "id" not in columns:
+        new = incoming.select(*[_unblank(c, kinds[c]) for c in have], F.lit("inserted").alias("action"))
+        return existing.withColumn("action", F.lit(None).cast("string")).unionByName(new, allowMissingColumns=True)
     ident = "__ident"
     old = existing.withColumn(ident, F.concat(F.lit("e"), F.col("id").cast("string")))
     new = incoming.withColumn(ident, F.concat(F.lit("n"), F.col(seq).cast("string")))
@@ -226,32 +234,43 @@ def app_upsert(incoming: DataFrame, existing: DataFrame, seq: str = "seq") -> Da
     centre = keyed.groupBy("priority", "key").agg(F.min(ident).alias("v"))
     edges = keyed.join(centre, ["priority", "key"]).select(F.col(ident).alias("u"), "v")
     label = components(edges)
-    kinds = {f.name: f.dataType for f in existing.schema}
-    have = [c for c in incoming.columns if c in columns]
     rows = old.select(ident, F.lit(None).cast("long").alias("__seq"), *columns).unionByName(
         new.select(ident, F.col(seq).cast("long").alias("__seq"), *[F.col(c).cast(kinds[c]).alias(c) for c in have]), allowMissingColumns=True
     )
     grouped = rows.join(label.select(F.col("id").alias(ident), "root"), ident, "left").withColumn("root", F.coalesce("root", F.col(ident)))
-    names = [c for c in columns]
+    matched = [c for c in MATCH_ORDER if c in columns]
+    both = ("normalized_name", "address")
 
     def blank(x: object) -> bool:
-        return x is None or (isinstance(x, float) and x != x) or (not isinstance(x, (list, dict)) and not hasattr(x, "__len__") and pd.isna(x)) or (isinstance(x, str) and x == "")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = [dict(r) | {"action": None} for r in pdf[pdf["__seq"].isna()].sort_values("id")[names].astype(object).to_dict("records")]
-        for r in pdf[pdf["__seq"].notna()].sort_values("__seq").astype(object).to_dict("records"):
-            hit = None
-            for c in MATCH_ORDER:
-                if c in have and not blank(r[c]):
-                    hit = next((t for t in table if t[c] == r[c]), None)
-                    if hit:
-                        break
-            if hit is None and all(c in have and not blank(r[c]) for c in ("normalized_name", "address")):
-                key = (r["normalized_name"].lower(), r["address"].lower())
-                hit = next((t for t in table if not blank(t["normalized_name"]) and not blank(t["address"]) and (t["normalized_name"].lower(), t["address"].lower()) == key), None)
-            if hit is None:
-                table.append({c: r[c] if c in have and not blank(r[c]) else None for c in names} | {"id": None, "action": "inserted"})
+        return x is None or x == "" or (isinstance(x, float) and x != x)
+
+    def keys(row: dict) -> list[tuple]:
+        """What a row is found by, in order of priority."""
+        own = [(c, row[c]) for c in matched if not blank(row.get(c))]
+        if not any(blank(row.get(c)) for c in both):
+            own.append((both, *(row[c].lower() for c in both)))
+        return own
+
+    def fold(group: pa.Table) -> pa.Table:
+        # Arrow's own values: ids beside nulls stay exact.
+        table: list[dict] = []
+        first: dict[tuple, int] = {}
+
+        def index(at: int) -> None:
+            for k in keys(table[at]):
+                first[k] = min(first.get(k, at), at)
+
+        got = group.to_pylist()
+        for r in sorted((r for r in got if r["__seq"] is None), key=lambda r: r["id"]):
+            table.append({c: r[c] for c in columns} | {"action": None})
+            index(len(table) - 1)
+        for r in sorted((r for r in got if r["__seq"] is not None), key=lambda r: r["__seq"]):
+            at = next((first[k] for k in keys({c: r[c] for c in have}) if k in first), None)
+            if at is None:
+                table.append({c: r[c] if c in have and not blank(r[c]) else None for c in columns} | {"id": None, "action": "inserted"})
+                index(len(table) - 1)
                 continue
+            hit = table[at]
             for c in have:
                 if c in ("id", "created_at") or blank(r[c]):
                     continue
@@ -259,11 +278,19 @@ def app_upsert(incoming: DataFrame, existing: DataFrame, seq: str = "seq") -> Da
                     hit[c] = max(0.0 if blank(hit[c]) else hit[c], r[c])
                 elif blank(hit[c]) or c in ("updated_at", "last_seen"):
                     hit[c] = r[c]
+            # A key that a row has never changes; it may have got more.
+            index(at)
             hit["action"] = hit["action"] or "updated"
-        return pd.DataFrame(table, columns=[*names, "action"]).astype(object)
+        made = [pa.array([t[c] for t in table], group.schema.field(c).type) for c in columns]
+        return pa.Table.from_arrays([*made, pa.array([t["action"] for t in table], pa.string())], names=[*columns, "action"])
 
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in existing.schema), "action string"])
-    return grouped.groupBy("root").applyInPandas(fold, out)
+    return grouped.groupBy("root").applyInArrow(fold, out)
+
+
+def _unblank(name: str, kind: T.DataType) -> Column:
+    value = F.col(name).cast(kind)
+    return F.when(value != "", value).alias(name) if isinstance(kind, T.StringType) else value.alias(name)
 
 
 def write_results(values: DataFrame, table_exists: bool = True, enabled: bool = True, columns: Sequence[str] = ()) -> DataFrame:

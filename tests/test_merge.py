@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,27 @@ def test_app_upsert_is_sequential(spark, seed):
     assert norm(got) == norm(app_sequential(old, new))
 
 
+def test_app_upsert_of_one_large_group(spark):
+    """Twenty thousand rows that share a website take time in proportion; large ids beside nulls stay exact."""
+    n = 20_000
+    new = spark.range(n).selectExpr("id as seq", "concat('k', id % 5000) as dedupe_key", "if(id % 3 = 0, 'https://shared', null) as website", "id / 1e5 as confidence")
+    old = spark.createDataFrame([(2**60 + 1, "k1", None, 0.5), (2**60 + 3, None, "https://shared", None)], "id long, dedupe_key string, website string, confidence double")
+    started = time.time()
+    rows = merge.app_upsert(new, old).collect()
+    assert time.time() - started < 60
+    assert {r["id"] for r in rows if r["id"] is not None} == {2**60 + 1, 2**60 + 3}
+    assert sum(r["action"] == "inserted" for r in rows) == len(rows) - 2
+    keys = [r["dedupe_key"] for r in rows]
+    assert len(set(keys)) == len(keys)
+
+
+def test_app_table_without_id_only_gets_rows(spark):
+    old = spark.createDataFrame([("k1", "a")], "dedupe_key string, phone string")
+    new = spark.createDataFrame([(0, "k1", ""), (1, "k2", "b")], "seq long, dedupe_key string, phone string")
+    got = sorted((tuple(r) for r in merge.app_upsert(new, old).collect()), key=repr)
+    assert got == sorted([("k1", "a", None), ("k1", None, "inserted"), ("k2", "b", "inserted")], key=repr)
+
+
 def test_components(spark):
     chain = [(f"{i:03}", f"{i + 1:03}") for i in range(40) if i != 20] + [("x", "x"), (None, "y")]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(chain, "u string, v string")).collect()}
