@@ -1,7 +1,7 @@
 """URL filters over redirect equivalence.
 
-Edges join a page's address to what it redirects to: the target of a meta
-refresh, its canonical link, and the normal form that servers redirect to
+Edges join a page's address to what it redirects to: the targets of its meta
+refreshes, its canonical links, and the normal form that servers redirect to
 (https, lower-case host without default port or www, no fragment, no tracking
 parameters, no trailing slash or index page). Components of this graph are
 aliases of one resource. A component is blocked if a rule blocks any address in
@@ -14,8 +14,10 @@ broadcasts only if it is small.
 
 Defined cases. Null or empty url: no alias, root null, aliases 0, decision
 'none'. Null page_id: kept as it is. Repeated rows: one result row each. Null
-html, or one without links: only the normal form counts. A canonical link or
-refresh target that isn't an http address or a path is ignored. Rules with nulls
+html, or one without links: only the normal form counts. Targets may be absolute,
+//host, /path, ?query or relative, quoted or not, with attributes in any order; all
+canonical links and refreshes of a page count. What doesn't resolve to an http
+address is ignored. Rules with nulls
 are ignored; repeated ones count once. Empty tables: empty result, or decision
 'none'. Extra columns are ignored.
 """
@@ -25,16 +27,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.extract import resolve
 from .components import connected_components
-from .shared import table
+from .shared import cut, table
 
 RULES = [("host", "example.net", "block"), ("host", "ththon.example.org", "block"), ("host", "tiontion.example.net", "allow")]
 
 _TRACKING = "(utm_[a-z]+|gclid|fbclid|ref|sessionid)"
-#: A link tag with rel=canonical, its attributes in either order; and a meta refresh.
-_CANONICAL = "(?i)<link[^>]*rel=[\"']?canonical[\"']?[^>]*>"
-_HREF = "(?i)href=[\"']?([^\"' >]+)"
-_REFRESH = "(?i)<meta[^>]*http-equiv=[\"']?refresh[\"']?[^>]*url=([^\"' >]+)"
+_TAG = "(?i)<(?:link|meta)\\s[^>]*>"
+_CANONICAL = "(?i)^<link\\s(?:[^>]*\\s)?rel\\s*=\\s*(?:canonical|\"[^\">]*\\bcanonical\\b|'[^'>]*\\bcanonical\\b)"
+_REFRESH = "(?i)^<meta\\s(?:[^>]*\\s)?http-equiv\\s*=\\s*[\"']?\\s*refresh\\b"
+#: An attribute's value in double quotes, in single ones, or bare.
+_VALUE = "(?i)\\s{}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
+_TARGET = "(?i)^\\s*[0-9.]*\\s*[;,]?\\s*url\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)"
 
 
 def normal_url(url: Column) -> Column:
@@ -50,21 +55,27 @@ def normal_url(url: Column) -> Column:
     return F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def _resolved(link: Column, base: Column) -> Column:
-    """An absolute http address of a link, or null."""
-    origin = F.regexp_extract(base, "(?i)^(https?://[^/?#]*)", 1)
-    return F.when(link.rlike("(?i)^https?://"), link).when(link.rlike("^/([^/]|$)"), F.concat(origin, link))
+def _attribute(tag: Column, name: str) -> Column:
+    value = F.concat(*(F.regexp_extract(tag, _VALUE.format(name), g) for g in (1, 2, 3)))
+    return F.regexp_replace(F.trim(value), "&amp;", "&")
+
+
+def page_targets(pages: DataFrame) -> DataFrame:
+    """(u, v): an address and a canonical link or refresh target of its page."""
+    tag = F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag")
+    tags = pages.where("url != ''").select(F.col("url").alias("u"), tag)
+    t = F.col("tag")
+    link = F.when(t.rlike(_CANONICAL), _attribute(t, "href")).when(t.rlike(_REFRESH), F.regexp_extract(_attribute(t, "content"), _TARGET, 1))
+    found = tags.select("u", link.alias("link")).where("link != ''")
+    return found.select("u", resolve("u", F.col("link")).alias("v")).where(F.col("v").rlike("(?i)^https?://[^/?#]")).distinct()
 
 
 def redirect_edges(pages: DataFrame) -> DataFrame:
-    """(u, v): an address and what it redirects to."""
-    url = F.col("url")
-    canonical = F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1)
-    refresh = F.regexp_extract("html", _REFRESH, 1)
-    linked = pages.where("url != ''").select(url.alias("u"), F.explode(F.array(_resolved(canonical, url), _resolved(refresh, url))).alias("v")).where("v is not null")
+    """(u, v): an address and what it redirects to. The pages' html is read once."""
+    linked = cut(page_targets(pages))
     # Targets have normal forms as well.
-    ends = pages.where("url != ''").select(url.alias("u")).unionByName(linked.select(F.col("v").alias("u")))
-    return linked.unionByName(ends.select("u", normal_url(F.col("u")).alias("v"))).distinct()
+    ends = pages.where("url != ''").select(F.col("url").alias("u")).unionByName(linked.select(F.col("v").alias("u")))
+    return cut(linked.unionByName(ends.select("u", normal_url(F.col("u")).alias("v"))).distinct())
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -104,7 +115,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(table(spark, sf_dir, "pages"), default_rules(spark))
 
 
-_Q_CANONICAL, _Q_HREF, _Q_REFRESH = (x.replace("'", "''") for x in (_CANONICAL, _HREF, _REFRESH))
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
 def _sql_normal(u: str) -> str:
@@ -116,18 +128,30 @@ def _sql_normal(u: str) -> str:
     return f"'https://' || {host} || {path} || CASE WHEN {query} != '' THEN '?' || {query} ELSE '' END"
 
 
-def _sql_resolved(link: str) -> str:
-    return f"CASE WHEN regexp_matches({link}, '(?i)^https?://') THEN {link} WHEN regexp_matches({link}, '^/([^/]|$)') THEN regexp_extract(url, '(?i)^(https?://[^/?#]*)', 1) || {link} END"
+def _sql_attribute(name: str) -> str:
+    value = " || ".join(f"regexp_extract(tag, {_q(_VALUE.format(name))}, {g})" for g in (1, 2, 3))
+    return f"replace(trim({value}), '&amp;', '&')"
+
+
+def _sql_resolved(h: str, base: str) -> str:
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    path = f"regexp_extract({base}, '^([^?#]*)', 1)"
+    folder = f"CASE WHEN length({path}) > length({origin}) THEN regexp_replace({path}, '[^/]*$', '') ELSE {path} || '/' END"
+    plain = f"regexp_replace(({folder}) || {h}, '/[.](/|$)', '\\1', 'g')"
+    for _ in range(4):
+        plain = f"regexp_replace({plain}, '([^/:])/(?:[^/?#.][^/?#]*|[.][^/?#.][^/?#]*)/[.][.](/|$)', '\\1\\2', 'g')"
+    return f"""CASE WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {h}
+      WHEN starts_with({h}, '//') THEN regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || {h} WHEN starts_with({h}, '/') THEN {origin} || {h}
+      WHEN starts_with({h}, '?') THEN {path} || {h} WHEN starts_with({h}, '#') THEN regexp_replace({base}, '#.*$', '') || {h} ELSE {plain} END"""
 
 
 ORACLE_SQL = f"""
-WITH RECURSIVE linked AS (
-  SELECT u, v FROM (
-    SELECT url AS u, {_sql_resolved(f"regexp_extract(regexp_extract(html, '{_Q_CANONICAL}', 0), '{_Q_HREF}', 1)")} AS v FROM pages WHERE url != ''
-    UNION ALL
-    SELECT url, {_sql_resolved(f"regexp_extract(html, '{_Q_REFRESH}', 1)")} FROM pages WHERE url != ''
-  ) WHERE v IS NOT NULL
+WITH RECURSIVE tags AS (SELECT url AS u, unnest(regexp_extract_all(html, {_q(_TAG)})) AS tag FROM pages WHERE url != ''),
+found AS (
+  SELECT u, CASE WHEN regexp_matches(tag, {_q(_CANONICAL)}) THEN {_sql_attribute("href")}
+                 WHEN regexp_matches(tag, {_q(_REFRESH)}) THEN regexp_extract({_sql_attribute("content")}, {_q(_TARGET)}, 1) END AS link FROM tags
 ),
+linked AS (SELECT DISTINCT u, v FROM (SELECT u, {_sql_resolved("link", "u")} AS v FROM found WHERE link != '') WHERE regexp_matches(v, '(?i)^https?://[^/?#]')),
 ends AS (SELECT url AS u FROM pages WHERE url != '' UNION SELECT v FROM linked),
 edges AS (SELECT u, v FROM linked UNION SELECT u, {_sql_normal("u")} FROM ends),
 both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),

@@ -57,3 +57,38 @@ def test_normal_form(spark):
     urls = ["http://WWW.A.org:80/x/?utm_a=1&b=2&ref=3#f", "https://a.org", "https://a.org/index.html?gclid=1", " https://a.org/x// "]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r["n"] for r in df.select(url_equiv.normal_url(F.col("u")).alias("n")).collect()] == ["https://a.org/x?b=2", "https://a.org", "https://a.org", "https://a.org/x"]
+
+
+ODD_LINKS = [
+    ('<link rel="canonical" href="//b.example/y">', "https://b.example/y"), ("<meta http-equiv='refresh' content=\"0; url='https://b.example/y'\">", "https://b.example/y"),
+    ('<meta content="5;URL = https://b.example/y" http-equiv=refresh>', "https://b.example/y"), ("<LINK HREF='../y?a=1&amp;b=2' REL='alternate canonical'>", "https://a.example/y?a=1&b=2"),
+    ("<link\n rel=canonical\n href=y>", "https://a.example/dir/y"), ('<meta http-equiv="Refresh" content="0,url=/z">', "https://a.example/z"), ('<link rel="canonical" href="?p=2">', "https://a.example/dir/page?p=2"),
+    ('<link rel="canonical" href="./a/../b/./c">', "https://a.example/dir/b/c"), ('<link rel="canonicals" href="/no">', None), ('<link rel="canonical" href="mailto:x@y.org">', None), ('<link rel="canonical" href="">', None),
+    ('<meta http-equiv="refresh" content="30">', None), ('<a rel="canonical" href="/no">', None), ('<link data-rel="canonical" href="/no">', None), ('<link rel="canonical" data-href="/no">', None), ("<link rel=canonical", None),
+]
+
+
+def test_targets_of_every_form(spark):
+    for html, want in ODD_LINKS:
+        pages = spark.createDataFrame([(1, "https://a.example/dir/page?q=1#f", html)], "page_id long, url string, html string")
+        assert [r["v"] for r in url_equiv.page_targets(pages).collect()] == ([] if want is None else [want]), html
+
+
+def test_all_targets_of_a_page_count(spark):
+    html = '<link rel="canonical" href="https://x.org/1"><meta http-equiv="refresh" content="0;url=https://x.org/2"><link rel="canonical" href="https://x.org/3">'
+    pages = spark.createDataFrame([(1, "https://a.org/p", html)], "page_id long, url string, html string")
+    assert {r["v"] for r in url_equiv.page_targets(pages).collect()} == {f"https://x.org/{i}" for i in (1, 2, 3)}
+
+
+def test_odd_links_same_as_sql(spark):
+    pages = [(i, f"https://a.example/dir/page{i}?q=1#f", html.replace("b.example", "x.example.net")) for i, (html, _) in enumerate(ODD_LINKS)]
+    pages += [(50, None, ODD_LINKS[0][0]), (None, "https://a.example/dir/page1", None), (51, "not a url", '<link rel="canonical" href="/x">'), (51, "", ""), (52, "https://a.example", '<link rel="canonical" href="x/y">'), (53, "HTTP://A.example/UP", "<p>" * 50_000 + '<link rel="canonical" href="https://a.example/dir/y">')]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [list(p) for p in pages])
+    p = spark.createDataFrame([(*x, "v", "u", "tag") for x in pages], "page_id long, url string, html string, v string, U string, tag string")
+    names = ["page_id", "url", "root", "aliases", "decision"]
+    got = url_equiv.decide(p, url_equiv.default_rules(spark)).select(*names).collect()
+    want = con.sql(url_equiv.ORACLE_SQL).select(*names).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sum(r["decision"] == "block" for r in got) >= 3
