@@ -2,7 +2,9 @@
 
 Vectors are scaled to length one. A PCA of all vectors and a rotation learned
 by iterative quantisation over all of them (``ITERATIONS`` distributed passes,
-each sums a 64 x 64 matrix) give balanced ``dim``-bit codes, at most 64 bits.
+each sums a 64 x 64 matrix) give balanced codes of 64 bits. Vectors shorter than
+that get further bits from random rotations (learned ones would end in the same
+place, and pairs that one bit parts would be parted by many).
 The code is cut into ``TABLES`` substrings. Codes within ``RADIUS`` bits have a
 substring within RADIUS // TABLES = 2 bits, so each vector stands in each table
 under its substring and under those one bit away: two such meet. Of the
@@ -10,12 +12,12 @@ buckets in which a pair meets one is canonical, so a pair is looked at once.
 Pairs within the radius are reranked by the cosine of the original vectors;
 those of at least ``COSINE`` are the result. No pair is capped or sampled away.
 
-The original vectors are broadcast for reranking if they are below
-``BROADCAST_BYTES``, else joined to the candidate pairs.
+The original vectors are broadcast for reranking, in single precision, if they are
+below ``BROADCAST_BYTES``, else joined to the candidate pairs.
 
 Defined cases. A null, empty or zero vector, one with a null, nan or infinite
-component, or of another length than the most frequent (ties: the longer), and
-a null vec_id: no pairs. Repeated rows: a vector is no partner of its own id; of
+component, and a null vec_id: no pairs. Vectors of different lengths are never a
+pair; each length has its own codes and search. Repeated rows: a vector is no partner of its own id; of
 different vectors of one id the best cosine counts. Equal vectors: a pair of
 cosine 1. Empty table: empty result. Extra columns are ignored.
 """
@@ -23,6 +25,7 @@ cosine 1. Empty table: empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -74,7 +77,8 @@ def learn(vectors: DataFrame, dim: int, iterations: int = ITERATIONS) -> tuple[n
     cov = moments[dim + 1 :].reshape(dim, dim) / n - np.outer(mean, mean)
     bits = min(dim, 64)
     pca = np.linalg.eigh(cov)[1][:, ::-1][:, :bits]
-    rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((bits, bits)))[0]
+    rng = np.random.default_rng(11)
+    rotation, *more = [np.linalg.qr(rng.standard_normal((bits, bits)))[0] for _ in range(-(-64 // bits))]
     for _ in range(iterations):
 
         def cross(x: np.ndarray, r: np.ndarray = rotation) -> np.ndarray:
@@ -83,7 +87,7 @@ def learn(vectors: DataFrame, dim: int, iterations: int = ITERATIONS) -> tuple[n
 
         left, _, right = np.linalg.svd(_sum_over(vectors, dim, cross, np.zeros((bits, bits))))
         rotation = (left @ right).T
-    return mean, pca @ rotation
+    return mean, np.concatenate([pca @ r for r in (rotation, *more)], 1)[:, :64]
 
 
 def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -137,10 +141,15 @@ def bucket_pairs(bucket: np.ndarray, ident: np.ndarray, code: np.ndarray, radius
         at = to
 
 
-def usable(embeddings: DataFrame) -> tuple[DataFrame, int]:
-    """(n, vec_id, x): unit vectors of the most frequent length, and that length. n numbers the rows."""
-    size = embeddings.where("vec_id is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = size["d"] if size else 1
+def lengths(embeddings: DataFrame) -> list[int]:
+    """Those that two vectors at least have, the most frequent first."""
+    sized = embeddings.where("vec_id is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count()
+    return [r["d"] for r in sized.where("count > 1").orderBy(F.desc("count"), F.desc("d")).collect()]
+
+
+def usable(embeddings: DataFrame, dim: int | None = None) -> tuple[DataFrame, int]:
+    """(vec_id, x): unit vectors of the length (by default the most frequent one), and the length."""
+    dim = dim or next(iter(lengths(embeddings)), 1)
     x = F.transform("embedding", lambda v: v.cast("double"))
     rows = embeddings.where(f"vec_id is not null and size(embedding) = {dim}").select("vec_id", x.alias("x"))
     rows = rows.withColumn("r", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))
@@ -150,9 +159,19 @@ def usable(embeddings: DataFrame) -> tuple[DataFrame, int]:
 
 def near_pairs(embeddings: DataFrame, cosine: float = COSINE, radius: int = RADIUS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(vec_a, vec_b, cosine) of each pair of ids, vec_a < vec_b."""
+    found = [_pairs_of_length(embeddings, dim, cosine, radius, broadcast_bytes) for dim in lengths(embeddings)]
+    kind = embeddings.schema["vec_id"].dataType.simpleString()
+    pairs = embeddings.sparkSession.createDataFrame([], f"vec_a {kind}, vec_b {kind}, cosine double")
+    if not found:
+        return pairs
+    # An id may have vectors of several lengths.
+    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+
+
+def _pairs_of_length(embeddings: DataFrame, dim: int, cosine: float, radius: int, broadcast_bytes: int) -> DataFrame:
     spark = embeddings.sparkSession
     kind = embeddings.schema["vec_id"].dataType.simpleString()
-    vectors, dim = usable(embeddings)
+    vectors, _ = usable(embeddings, dim)
     vectors = cut(vectors.withColumn("n", F.monotonically_increasing_id()))
     model = learn(vectors, dim)
     empty = spark.createDataFrame([], f"vec_a {kind}, vec_b {kind}, cosine double")
@@ -191,8 +210,8 @@ def near_pairs(embeddings: DataFrame, cosine: float = COSINE, radius: int = RADI
     pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, "a long, b long")
     count = vectors.count()
     if count * (dim * 4 + 16) <= broadcast_bytes:
-        all_rows = vectors.select("n", "x").toArrow().combine_chunks()
-        n, x = all_rows["n"].to_numpy(), _matrix(all_rows["x"], dim).astype(np.float32)
+        all_rows = vectors.select("n", F.col("x").cast("array<float>").alias("x")).toArrow().combine_chunks()
+        n, x = all_rows["n"].to_numpy(), all_rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         order = np.argsort(n)
         shared = spark.sparkContext.broadcast((n[order], x[order]))
 
@@ -216,3 +235,13 @@ def near_pairs(embeddings: DataFrame, cosine: float = COSINE, radius: int = RADI
 
 def op3_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(table(spark, sf_dir, "embeddings"))
+
+
+#: By brute force; the search finds nearly all of these (README).
+ORACLE_SQL = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL),
+u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS r FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, max(list_dot_product(a.x, b.x) / (a.r * b.r)) AS cosine
+FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x)
+WHERE a.r > 0 AND b.r > 0 AND list_dot_product(a.x, b.x) / (a.r * b.r) >= {COSINE} GROUP BY ALL
+"""

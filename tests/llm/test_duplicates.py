@@ -351,3 +351,49 @@ def test_blocks_of_a_shard_find_what_one_block_finds(spark):
         roots.append(simhash_bk._least_members(len(code), np.array([r["u"] for r in e]), np.array([r["v"] for r in e])))
     assert (roots[0] == roots[1]).all()
     assert len(set(roots[0].tolist())) == 500
+
+
+def by_sql(rows):
+    """(vec_a, vec_b) -> cosine, by the brute-force SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [[i, None if v is None else list(map(float, v))] for i, v in rows])
+    return {(a, b): c for a, b, c in con.sql(itq.ORACLE_SQL).fetchall()}
+
+
+def pairs_of(spark, rows, **more):
+    df = spark.createDataFrame([(i, None if v is None else [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>").repartition(3)
+    return {(r["vec_a"], r["vec_b"]): r["cosine"] for r in itq.near_pairs(df, **more).collect()}
+
+
+@pytest.mark.parametrize("dim", [2, 8, 16, 32, 64, 100])
+def test_itq_recall_at_every_length_against_sql(spark, dim):
+    """Pairs on both sides of the threshold."""
+    x = near_vectors(dim, 240, dim)
+    rows = list(enumerate(x.astype(np.float32)))
+    want, got = by_sql(rows), pairs_of(spark, rows)
+    assert len(want) > 30
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert all(abs(c - want[p]) < 1e-9 for p, c in got.items())
+
+
+def test_itq_short_vectors_do_not_share_a_bucket():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    projection = np.concatenate([np.linalg.qr(rng.standard_normal((32, 32)))[0] for _ in range(2)], 1)
+    _, bucket = itq.substring_rows(itq.codes(x, np.zeros(32), projection))
+    assert np.unique(bucket, return_counts=True)[1].max() < 300
+
+
+def test_itq_several_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k, (dim, n) in enumerate(((16, 60), (24, 40), (5, 2))):
+        x = rng.standard_normal((n, dim))
+        rows += [(1000 * k + i, v) for i, v in enumerate(x)] + [(1000 * k + 500 + i, 3 * v) for i, v in enumerate(x[:10])]
+    rows += [(3000, rng.standard_normal(7)), (0, rows[100][1]), (None, rows[0][1]), (3001, None)]
+    want, got = by_sql(rows), pairs_of(spark, rows)
+    assert set(got) == set(want) and len(want) >= 22
