@@ -8,7 +8,8 @@ given the whole document; their mean, weighted by line length, is the
 document's quality.
 
 Training is on at most ``TRAIN_DOCS`` labelled documents, those whose ids hash
-lowest (the documented bound), cut into at most ``TRAIN_LINES`` lines. Labels are
+lowest (the documented bound), cut into at most ``TRAIN_LINES`` lines before
+anything reaches the driver (a document that would exceed that is left out). Labels are
 per document, so lines start with their document's label; after a first fit the
 lines of bad documents that the model calls good are relabelled (the worst line
 of a document stays bad) and the model is fitted again, ``ROUNDS`` times.
@@ -23,10 +24,12 @@ the threshold are kept. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,18 +195,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Crf | N
         blobs = pa.array([x.astype(np.float32).tobytes() for x in np.split(own, cut)], pa.binary())
         return pa.RecordBatch.from_arrays([K.column_of(batch, "h"), K.column_of(batch, "quality").cast(pa.int32()), blobs], ["h", "quality", "own"])
 
-    rows = sample.mapInArrow(K.by_chunk(work), "h long, quality int, own binary").collect()
-    rows.sort(key=lambda r: (r["h"], r["own"]))
-    docs_, owns, quality, lines = [], [], [], 0
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = 0
+        for batch in batches:
+            size = pc.binary_length(K.column_of(batch, "own")).to_numpy() // (4 * len(OWN))
+            keep = np.zeros(len(size), bool)
+            for i, n in enumerate(size.tolist()):
+                if lines + n <= TRAIN_LINES:
+                    keep[i], lines = True, lines + n
+            yield batch.filter(pa.array(keep))
+
+    # One task sees the sample's features, whatever its texts' lengths; TRAIN_LINES lines come here.
+    made = sample.mapInArrow(K.by_chunk(work), "h long, quality int, own binary")
+    rows = made.repartition(1).sortWithinPartitions("h", "own").mapInArrow(bounded, made.schema).collect()
+    docs_, owns, quality = [], [], []
     for i, r in enumerate(rows):
         own = np.frombuffer(r["own"], np.float32).reshape(-1, len(OWN)).astype(np.float64)
-        if lines + len(own) > TRAIN_LINES:
-            continue
-        lines += len(own)
         docs_.append(np.full(len(own), i))
         owns.append(own)
         quality.append(np.full(len(own), int(r["quality"] > 0)))
-    return fit(np.concatenate(docs_), np.concatenate(owns), np.concatenate(quality)) if lines else None
+    return fit(np.concatenate(docs_), np.concatenate(owns), np.concatenate(quality)) if sum(map(len, owns)) else None
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRAIN_DOCS) -> DataFrame:
