@@ -5,8 +5,9 @@ the lower-cased text, n = 1 to 3: k(x, y) counts the n-grams present in both,
 divided by the root of k(x, x) k(y, y). A Nystrom map through ``LANDMARKS``
 landmarks a language turns it into one-versus-rest kernel ridge regression that
 is trained on a bounded, hash-ordered sample (``TRAIN_PER_LANG`` documents a
-language, the documented bound; every label of the table gets a model, so the
-driver's memory grows with the number of labels). Since k(x, landmark) is a product of presence
+language, the documented bound, kept before anything reaches the driver; every
+label of the table gets a model, so the driver's memory grows with the number of
+labels). Since k(x, landmark) is a product of presence
 rows, all landmark columns and regression weights fold into one matrix; scoring
 is presence matrix times that matrix, a batch at a time, over whole texts.
 
@@ -14,9 +15,9 @@ A document is *rejected* when no one-versus-rest score exceeds ``MIN_SCORE``:
 no known language claims it.
 
 Defined cases. Null or empty text, or one without any n-gram of a landmark:
-every score -1, language null, rejected. Null lang or doc_id: scored like any other row, never trained on (a
-null id is hashed as such). Ties: the alphabetically first language. Repeated
-rows: each scored. An empty table, or one without any lang: language null and
+every score -1, language null, rejected. Null lang or doc_id: scored like any other row, never trained on.
+Ties: the alphabetically first language. Repeated rows: each scored, trained on
+once; rows that share an id but not a text are told apart by the text. An empty table, or one without any lang: language null and
 rejected for every row. Extra columns are carried through by ``keep_known``.
 """
 
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -110,23 +111,17 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
 
 
 def training_sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
-    """(lang, text), about ``per_lang`` a language, of those rows whose ids hash lowest."""
-    known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and text != ''")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not counts:
+    """(lang, text) of the ``per_lang`` rows of each language that hash lowest, in that order."""
+    h = F.xxhash64("doc_id", "lang", "text").alias("h")
+    known = docs.where("doc_id is not null and lang is not null and text is not null and text != ''").select("lang", "text", h)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = known.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_lang)
+    last = first.groupBy("lang").agg(F.max("h").alias("h")).collect()
+    if not last:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.25 * per_lang / r["n"]))])
-    h = F.xxhash64("doc_id", "lang")
-    part = F.pmod(h, F.lit(1 << 40)) / float(1 << 40)
-    rows = known.where(part <= F.try_element_at(share, F.col("lang"))).withColumn("h", h).collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
-    taken: dict[str, int] = {}
-    out = []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_lang:
-            out.append((r["lang"], r["text"]))
-    return out
+    limit = F.create_map(*[F.lit(x) for r in last for x in (r["lang"], r["h"])])
+    rows = known.where(F.col("h") <= F.try_element_at(limit, F.col("lang"))).dropDuplicates(["lang", "h"]).collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
 def chunk_scores(column: pa.Array, model: Model, place: np.ndarray) -> np.ndarray:
