@@ -73,7 +73,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 8, max_pages: int
         level = materialize(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
-        seen = materialize(seen.unionByName(level))
+        seen = seen.unionByName(level)  # each level is written once
     out = seen.join(there, "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
     return out.orderBy("depth", "url").limit(max_pages) if max_pages else out
 

@@ -12,7 +12,7 @@ from ..functions import extract as E
 from ..functions import text as N
 from ..functions import vocab
 from ..functions.score import accepted, import_hits, import_score
-from ..plans.shape import computed
+from ..plans.shape import computed, spread
 from .merge import import_dedupe
 
 ROW_FIELDS = "name address city state postalCode phone email website services sourceType sourceTag sourceUrl lat lng evidenceNote".split()
@@ -147,18 +147,17 @@ def block_rows(blocks: DataFrame, source_type: str = "provider_file_import", sou
 def text_blocks(texts: DataFrame, accept: Sequence[str] = vocab.ACCEPT_TERMS, reject: Sequence[str] = vocab.REJECT_TERMS) -> DataFrame:
     """(doc, position, block) of whole texts (doc, text): parts between blank lines; in a text
     without any, lines from one record start to the next (TXT1-TXT3), an islands window."""
-    whole = texts.select("doc", F.regexp_replace(N.text("text"), "\r\n", "\n").alias("text"))
+    whole = spread(texts).select("doc", F.regexp_replace(N.text("text"), "\r\n", "\n").alias("text"))
     parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     parted = computed(whole, "doc", "text", parts.alias("parts"))
-    many = parted.where(F.size("parts") > 1).select("doc", F.posexplode("parts").alias("position", "block"))
-    lines = parted.where(F.size("parts") <= 1).select("doc", "text", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = computed(lines, "doc", "n", N.clean_record("line").alias("line")).where("line != ''")
-    w = Window.partitionBy("doc").orderBy("n")
-    starts = computed(lines, "doc", "n", "line", E.record_start("line", accept, reject).cast("int").alias("start"))
-    islands = starts.withColumn("position", F.coalesce(F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.first("start").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)))
-    joined = islands.groupBy("doc", "position").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    single = joined.select("doc", F.col("position").cast("int"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"))
-    return many.unionByName(single)
+    # Islands within the row, so nothing is shuffled: each line after a mark, one that begins a
+    # record after a mark of its own (white space to ``clean_record``, so no line holds it).
+    lines = F.filter(F.transform(F.split("text", "\n"), N.clean_record), lambda x: x != "")
+    lined = computed(parted, "doc", "parts", F.when(F.size("parts") <= 1, lines).alias("lines"))
+    marked = F.transform("lines", lambda x: F.concat(F.when(E.record_start(x, accept, reject), F.lit("\x1e")).otherwise(F.lit("\n")), x))
+    joined = computed(lined, "doc", "parts", F.substring(F.array_join(marked, ""), 2, 1 << 30).alias("joined"))
+    blocks = F.when(F.col("joined").isNull(), F.col("parts")).when(F.col("joined") != "", F.split("joined", "\x1e"))
+    return joined.select("doc", F.posexplode(blocks).alias("position", "block"))
 
 
 def score_rows(rows: DataFrame, min_score: float = 5, accept: Sequence[str] = vocab.ACCEPT_TERMS, reject: Sequence[str] = vocab.REJECT_TERMS, strict_parity: bool = True) -> DataFrame:

@@ -297,12 +297,12 @@ def text_line_islands(spark, sf_dir):
     return blocks.select(F.col("doc").alias("doc_id"), "position", F.size(F.split("block", "\n")).cast("long").alias("n_lines"), F.length("block").cast("long").alias("chars"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id < 300),
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 c AS (SELECT doc_id, line_no, trim(trim(regexp_replace(line, '[\\s\\x{a0}]+', ' ', 'g')), ' ,;') AS line FROM l),
 w AS (SELECT doc_id, line_no, line, concat_ws(' ', line, lead(line, 1) OVER o, lead(line, 2) OVER o, lead(line, 3) OVER o, lead(line, 4) OVER o) AS blob FROM c WHERE line != '' WINDOW o AS (PARTITION BY doc_id ORDER BY line_no))
 SELECT doc_id, line_no::INT AS line_no, left(line, 160) AS name, length(blob)::BIGINT AS chars FROM w WHERE contains(lower(blob), 'the') OR contains(lower(blob), 'les')""")
 def sliding_line_window(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("doc_id < 300").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     out = P.term_windows(d, ["the", "les"])
     return out.select(F.col("doc").alias("doc_id"), "line_no", "name", F.length("blob").cast("long").alias("chars"))
 
@@ -311,12 +311,12 @@ def sliding_line_window(spark, sf_dir):
 c AS (SELECT doc_id, line_no, trim(trim(regexp_replace(line, '[\\s\\x{{a0}}]+', ' ', 'g')), ' ,;') AS line FROM l),
 w AS (SELECT doc_id, line_no, line, concat_ws(' ', line, lead(line, 1) OVER o, lead(line, 2) OVER o, lead(line, 3) OVER o, lead(line, 4) OVER o) AS blob FROM c WHERE line != '' WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
 f AS (SELECT *, regexp_extract(blob, '{PHONE_RUN_SQL}') AS phone, regexp_extract(blob, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') AS email, regexp_extract(blob, '(?:https?://|www\\.)\\S+') AS website FROM w)
-SELECT doc_id, line_no::INT AS line_no, left(line, 160) AS name, length(blob)::BIGINT AS chars, phone, email, website FROM f
+SELECT doc_id, line_no::INT AS line_no, left(line, 160) AS name, length(blob)::BIGINT AS chars, left(blob, 500) AS address, phone, email, website FROM f
 WHERE (contains(lower(blob), 'the') OR contains(lower(blob), 'les')) AND (phone != '' OR email != '' OR website != '')""")
 def printed_contact_windows(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     out = P.printed_windows(d, ["the", "les"])
-    return out.select(F.col("doc").alias("doc_id"), "line_no", "name", F.length("blob").cast("long").alias("chars"), "phone", "email", "website")
+    return out.select(F.col("doc").alias("doc_id"), "line_no", "name", F.length("blob").cast("long").alias("chars"), "address", "phone", "email", "website")
 
 
 @query("""WITH r AS (SELECT s_suppkey AS row_no, s_suppkey % 2 AS file_no,
@@ -620,3 +620,6 @@ def crawl_page_states(spark, sf_dir):
     k = F.col("event_id")
     e = read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run_key"), k.alias("seq"), F.concat(F.lit("p"), (k % 500).cast("string")).alias("url"), F.col("event_type").alias("status"), (k % 5).alias("found"))
     return frontier.page_states(e)
+
+
+from . import round_trips  # noqa: E402, F401  (registers its queries)

@@ -31,9 +31,10 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("position", F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, blanks as '', a byte order mark dropped (SRC2)."""
-    df = spark.read.options(header=True, multiLine=True, escape='"', nullValue="\0", emptyValue="").csv(path)
+def read_csv(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
+    """All columns as strings, blanks as '', a byte order mark dropped (SRC2). A file whose quoted
+    values hold no line ends can be read in splits: say so by ``quoted_newlines=False``."""
+    df = spark.read.options(header=True, multiLine=quoted_newlines, escape='"', nullValue="\0", emptyValue="").csv(path)
     names = [c.lstrip("\ufeff").strip('"') if i == 0 else c for i, c in enumerate(df.columns)]
     return _numbered(df.toDF(*names))
 

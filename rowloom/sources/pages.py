@@ -293,8 +293,10 @@ def term_windows(lines: DataFrame, terms: list[str] | None = None, size: int = 5
 
 
 def printed_windows(lines: DataFrame, terms: list[str] | None = None, size: int = 5) -> DataFrame:
-    """(doc, page, line_no, name, blob, phone, email, website): windows of ``size`` lines that hold a
-    term and a phone number, an e-mail address or a URL; the first of each, '' if there is none."""
+    """(doc, page, line_no, name, blob, address, phone, email, website): windows of ``size`` lines that
+    hold a term and a phone number, an e-mail address or a URL; the first of each, '' if there is
+    none; address is the window's beginning."""
     contacts = {"phone": PRINTED_PHONE, "email": PRINTED_EMAIL, "website": PRINTED_WEBSITE}
     found = term_windows(lines, terms, size).withColumns({c: F.regexp_extract("blob", p, 0) for c, p in contacts.items()})
-    return found.where(" or ".join(f"{c} != ''" for c in contacts))
+    found = found.where(" or ".join(f"{c} != ''" for c in contacts))
+    return found.select("doc", "page", "line_no", "name", "blob", F.substring("blob", 1, 500).alias("address"), *contacts)

@@ -120,6 +120,39 @@ def test_limit_and_sinks(spark, jsonl, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first()["rejected_count"] == 4
 
 
+def test_csv_in_splits(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("name,phone\n" + "".join(f'"a, ""{i}""",{i}\n' for i in range(2000)))
+    whole, split = files.read_csv(spark, str(path)), files.read_csv(spark, str(path), quoted_newlines=False)
+    assert sorted(map(tuple, whole.select("name", "phone").collect())) == sorted(map(tuple, split.select("name", "phone").collect()))
+
+
+def test_json_lines_feed(spark, tmp_path):
+    df = spark.createDataFrame([("a", 'q"x'), (None, "é")], "name string, note string")
+    files.write_jsonl(df, str(tmp_path / "feed"))
+    assert sorted(map(tuple, files.read_jsonl(spark, str(tmp_path / "feed")).select("name", "note").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_raw_evidence_is_appended(spark, tmp_path):
+    row = ("n", "q", "CA", "c", "a", "p", "w", 1.0, 2.0, "{}")
+    df = spark.createDataFrame([row], "name string, source_query string, country_code string, category string, address string, phone string, website string, latitude double, longitude double, raw string")
+    for _ in range(3):
+        files.append_raw(df, str(tmp_path / "raw"))
+    rows = spark.read.parquet(str(tmp_path / "raw")).collect()
+    assert len(rows) == 3 and rows[0]["title"] == "n" and rows[0]["categories"] == ["c"]
+
+
+def test_database_table(spark, tmp_path):
+    """Through the database that Spark ships; a missing table is an error, not a row."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.range(5).selectExpr("id", "concat('r', id) as name")
+    df.write.jdbc(url, "RUNS", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    got = files.read_jdbc(spark, url, "RUNS", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert {r[1] for r in got.collect()} == {f"r{i}" for i in range(5)}
+    with pytest.raises(Exception, match="(?i)exist"):
+        files.read_jdbc(spark, url, "NOTHING", driver="org.apache.derby.jdbc.EmbeddedDriver").collect()
+
+
 def test_registry(spark, tmp_path):
     head = "country,sourceTag,url,allowedDomain,crawlMode,enabled,notes\n"
     (tmp_path / "a.csv").write_text(head + "Canada,t1,https://a,,facility_registry,False,\nCanada,,https://b,,facility_registry,true,\n,x,https://c,,facility_registry,true,\nSri Lanka,,https://d,,,true,\n")
