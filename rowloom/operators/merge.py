@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as N
 from ..functions.score import confidence
+from ..plans.session import materialize
 from .graph import components
 
 #: Staging fields that are filled only while blank.
@@ -210,7 +211,7 @@ def match_existing(incoming: DataFrame, existing: DataFrame, seq: str = "seq", i
     return both.groupBy(seq).agg(F.min(F.struct("priority", ident)).alias("m")).select(seq, f"m.{ident}", "m.priority")
 
 
-def app_upsert(incoming: DataFrame, existing: DataFrame, seq: str = "seq") -> DataFrame:
+def app_upsert(incoming: DataFrame, existing: DataFrame, seq: str = "seq", strict_parity: bool = False) -> DataFrame:
     """The app table after incoming app rows were merged one by one in order of ``seq``, with ``action``.
 
     Matching is order dependent: a row may match what an earlier row of the same
@@ -218,15 +219,18 @@ def app_upsert(incoming: DataFrame, existing: DataFrame, seq: str = "seq") -> Da
     folded together, in order, each chain in one group: exact, and as parallel
     as the data allows. A group is folded through an index of its keys, in time in
     proportion to its rows. action: inserted, updated, or null for untouched rows.
-    New rows get null ids. Existing ids must be unique and not null. A table without an id can't
-    be updated: every incoming row is inserted (UPS6).
+    New rows get null ids. Existing ids must be unique and not null. In a table without ids
+    rows are updated by what they match (UPS6); ``strict_parity`` inserts every row there.
     """
     columns = existing.columns
     kinds = {f.name: f.dataType for f in existing.schema}
     have = [c for c in incoming.columns if c in columns]
-    if "id" not in columns:
+    if "id" not in columns and strict_parity:
         new = incoming.select(*[_unblank(c, kinds[c]) for c in have], F.lit("inserted").alias("action"))
         return existing.withColumn("action", F.lit(None).cast("string")).unionByName(new, allowMissingColumns=True)
+    if "id" not in columns:
+        numbered = materialize(existing.withColumn("id", F.monotonically_increasing_id()))
+        return app_upsert(incoming.drop("id"), numbered, seq).drop("id")
     ident = "__ident"
     old = existing.withColumn(ident, F.concat(F.lit("e"), F.col("id").cast("string")))
     new = incoming.withColumn(ident, F.concat(F.lit("n"), F.col(seq).cast("string")))

@@ -68,3 +68,30 @@ def dashboard_totals(raw: DataFrame, staging: DataFrame, app: DataFrame | None,
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
     return out
+
+
+def answer(path: str, *, raw: DataFrame, staging: DataFrame, runs: DataFrame, current: Sequence[str], start: Column, app: DataFrame | None = None, jobs: DataFrame | None = None, legacy: Sequence[str] = (), app_write: bool = True) -> dict[str, DataFrame]:
+    """What an address of the API answers, a part by name (SNK7); ValueError for an unknown address.
+
+    raw: (source, ts, ...); staging and app: (id, updated_at, created_at, ...); runs:
+    (run_key, updated_at, ...); jobs: legacy ones (id, error and their moments).
+    """
+    if path == "/api/run/status":
+        return {"recent_runs": run_history(runs)}
+    if path not in ("/api/dashboard", "/api/status"):
+        raise ValueError(f"not an address of the API: {path}")
+    since = count_since(raw, F.col("ts"), start, F.col("source"), current)
+    parts = {
+        "totals": dashboard_totals(raw, staging, app, since),
+        "current_source_counts": source_counts(raw, F.col("source"), current),
+        "legacy_source_counts": source_counts(raw, F.col("source"), current, complement=True, most=20),
+        "recent_staging": recent(staging, ["updated_at", "created_at"], 30, "id"),
+        "crawl_runs": recent(runs, ["updated_at"], 20, "run_key"),
+        "warnings": warnings(app_write, app is not None, since, raw.select("source"), legacy),
+    }
+    if app is not None:
+        parts["recent_app"] = recent(app, ["updated_at", "created_at"], 30, "id")
+    if jobs is not None:
+        parts["legacy_jobs"] = recent(jobs, ["completed_at", "started_at", "created_at"], 25, "id")
+        parts["legacy_errors"] = recent_errors(jobs)
+    return parts

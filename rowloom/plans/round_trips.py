@@ -4,6 +4,7 @@ whose results SQL can tell from the suppliers alone."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -162,13 +163,16 @@ def app_upsert_values(spark, sf_dir):
     return merge.app_upsert(new, old).withColumn("provider_name", F.when(F.col("provider_name") != "", F.col("provider_name")))
 
 
-@query("""SELECT 'k' || (s_suppkey // 2) AS dedupe_key, NULL AS action FROM supplier WHERE s_suppkey % 2 = 0
-UNION ALL SELECT 'k' || (s_suppkey // 2), 'inserted' FROM supplier""")
+@query("""SELECT false AS strict, 'k' || s_suppkey AS dedupe_key, CASE WHEN s_suppkey % 3 = 0 THEN 'updated' END AS action FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT false, 'k' || s_suppkey, 'inserted' FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 3 = 0
+UNION ALL SELECT true, 'k' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT true, 'k' || s_suppkey, 'inserted' FROM supplier WHERE s_suppkey % 3 = 0""")
 def app_rows_without_id(spark, sf_dir):
-    """A table without an id can't be updated (UPS6)."""
-    s = read(spark, sf_dir, "supplier")
-    key = F.concat(F.lit("k"), _text(F.expr("s_suppkey div 2"))).alias("dedupe_key")
-    return merge.app_upsert(s.select(F.col("s_suppkey").alias("seq"), key), s.where("s_suppkey % 2 = 0").select(key))
+    """In a table without ids rows are updated by what they match, or all inserted (UPS6)."""
+    k = F.col("s_suppkey")
+    s = read(spark, sf_dir, "supplier").select(k, F.concat(F.lit("k"), _text(k)).alias("dedupe_key"))
+    new, old = s.where(k % 3 == 0).withColumnRenamed("s_suppkey", "seq"), s.where(k % 2 == 0).select("dedupe_key")
+    return merge.app_upsert(new, old).withColumn("strict", F.lit(False)).unionByName(merge.app_upsert(new, old, strict_parity=True).withColumn("strict", F.lit(True)))
 
 
 @query(_STAGING_SQL)
@@ -258,3 +262,20 @@ def write_statuses(spark, sf_dir):
 def run_history(spark, sf_dir):
     """The newest 30 runs (SNK6)."""
     return reports.run_history(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_key"), F.col("o_orderdate").alias("updated_at")))
+
+
+@query("""WITH a AS (SELECT count(*) AS e, count(DISTINCT event_type) AS t FROM events), o AS (SELECT count(*) AS n FROM orders), c AS (SELECT count(*) AS n FROM customer), w AS (SELECT count(*) AS n FROM supplier)
+SELECT x.part, x.n::BIGINT AS n FROM a, o, c, w, LATERAL (VALUES ('totals', 1), ('current_source_counts', 2), ('legacy_source_counts', least(20, t - 2)), ('recent_staging', least(30, o.n)), ('recent_app', least(30, c.n)),
+  ('crawl_runs', least(20, w.n)), ('legacy_jobs', least(25, w.n)), ('legacy_errors', least(25, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0))), ('warnings', 1)) x(part, n)""")
+def dashboard_answer(spark, sf_dir):
+    """The parts of the dashboard's one answer and their rows (SNK7)."""
+    e, o, c, s = (read(spark, sf_dir, t) for t in ("events", "orders", "customer", "supplier"))
+    stamp = F.lit("2024-01-01").cast("timestamp")
+    jobs = s.select(F.col("s_suppkey").alias("id"), *[stamp.alias(x) for x in ("completed_at", "started_at", "created_at")], F.when(F.col("s_suppkey") % 2 == 0, "mapped").alias("error"))
+    parts = reports.answer(
+        "/api/dashboard", raw=e.select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("source")), current=["click", "view"], start=F.lit("1999-01-01").cast("timestamp"),
+        staging=o.select(F.col("o_orderkey").alias("id"), stamp.alias("updated_at"), stamp.alias("created_at")), app=c.select(F.col("c_custkey").alias("id"), stamp.alias("updated_at"), stamp.alias("created_at")),
+        runs=s.select(F.col("s_suppkey").alias("run_key"), stamp.alias("updated_at")), jobs=jobs, legacy=["purchase"],
+    )
+    out = [reports.count_all(df).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), out)

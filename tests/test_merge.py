@@ -159,11 +159,12 @@ def test_app_upsert_of_one_large_group(spark):
     assert len(set(keys)) == len(keys)
 
 
-def test_app_table_without_id_only_gets_rows(spark):
-    old = spark.createDataFrame([("k1", "a")], "dedupe_key string, phone string")
-    new = spark.createDataFrame([(0, "k1", ""), (1, "k2", "b")], "seq long, dedupe_key string, phone string")
-    got = sorted((tuple(r) for r in merge.app_upsert(new, old).collect()), key=repr)
-    assert got == sorted([("k1", "a", None), ("k1", None, "inserted"), ("k2", "b", "inserted")], key=repr)
+def test_app_table_without_id(spark):
+    old = spark.createDataFrame([("k1", "a"), ("k3", "")], "dedupe_key string, phone string")
+    new = spark.createDataFrame([(0, "k1", "x"), (1, "k2", "b"), (2, "k3", "c")], "seq long, dedupe_key string, phone string")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert rows(merge.app_upsert(new, old)) == sorted([("k1", "a", "updated"), ("k2", "b", "inserted"), ("k3", "c", "updated")], key=repr)
+    assert rows(merge.app_upsert(new, old, strict_parity=True)) == sorted([("k1", "a", None), ("k3", "", None), ("k1", "x", "inserted"), ("k2", "b", "inserted"), ("k3", "c", "inserted")], key=repr)
 
 
 def test_components(spark):
