@@ -1,6 +1,14 @@
-"""Embedding near-duplicates: iterative quantisation and multi-index Hamming tables.
+"""Embedding near-duplicates: classes and links of vectors, and an index by iterative quantisation.
 
-Vectors are scaled to length one. A PCA of all vectors and a rotation learned
+``op3_itq`` gives one row an id: vec_id, class_id (the least id of those that links
+connect it with, its own without any) and links (the number of other ids whose cosine
+with it is at least ``COSINE``). All pairs are compared, by products of matrices in
+single precision that only sift; what counts is computed in double. The vectors are
+broadcast in slabs of at most ``BROADCAST_BYTES``, one after the other. So no link is
+lost, and work grows with the square of the table.
+
+``near_pairs`` is the search by an index, whose recall is below one (README). Vectors are
+scaled to length one. A PCA of all vectors and a rotation learned
 by iterative quantisation over all of them (``ITERATIONS`` distributed passes,
 each sums a 64 x 64 matrix) give balanced codes of 64 bits. Vectors shorter than
 that get further bits from random rotations (learned ones would end in the same
@@ -10,14 +18,14 @@ substring within RADIUS // TABLES = 2 bits, so each vector stands in each table
 under its substring and under those one bit away: two such meet. Of the
 buckets in which a pair meets one is canonical, so a pair is looked at once.
 Pairs within the radius are reranked by the cosine of the original vectors;
-those of at least ``COSINE`` are the result. No pair is capped or sampled away.
+those of at least ``COSINE`` are the result. Near pairs beyond the radius are not found.
 
 The original vectors are broadcast for reranking, in single precision, if they are
 below ``BROADCAST_BYTES``, else joined to the candidate pairs.
 
 Defined cases. A null, empty or zero vector, one with a null, nan or infinite
-component, and a null vec_id: no pairs. Vectors of different lengths are never a
-pair; each length has its own codes and search. Repeated rows: a vector is no partner of its own id; of
+component, and a null vec_id: no pairs (such a vector's id is a row without links, a
+null id isn't one). Vectors of different lengths are never a pair; each length has its own codes and search. Repeated rows: a vector is no partner of its own id; of
 different vectors of one id the best cosine counts. Equal vectors: a pair of
 cosine 1. Empty table: empty result. Extra columns are ignored.
 """
@@ -34,11 +42,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .components import connected_components
 from .shared import cut, table
 
 TABLES, RADIUS, COSINE, ITERATIONS = 4, 11, 0.95, 10
 BROADCAST_BYTES = 32 << 20
 PAIRS = 1 << 20
+ROWS, COLUMNS = 512, 8192  # of one product of matrices
 U = np.uint64
 
 
@@ -233,15 +243,85 @@ def _pairs_of_length(embeddings: DataFrame, dim: int, cosine: float, radius: int
     return scored.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
+def all_pairs(embeddings: DataFrame, cosine: float = COSINE, slab_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(vec_a, vec_b) of each pair of ids, vec_a < vec_b: every pair of vectors is compared."""
+    kind = embeddings.schema["vec_id"].dataType.simpleString()
+    pairs = embeddings.sparkSession.createDataFrame([], f"vec_a {kind}, vec_b {kind}")
+    return reduce(DataFrame.unionByName, [_all_pairs_of_length(embeddings, dim, cosine, slab_bytes) for dim in lengths(embeddings)], pairs).distinct()
+
+
+def _all_pairs_of_length(embeddings: DataFrame, dim: int, cosine: float, slab_bytes: int) -> DataFrame:
+    spark = embeddings.sparkSession
+    vectors = cut(usable(embeddings, dim)[0].withColumn("n", F.monotonically_increasing_id()))
+    slabs = max(1, -(-vectors.count() * (dim * 8 + 8) // slab_bytes))
+
+    def of_slab(k: int) -> DataFrame:
+        rows = vectors.where(F.pmod(F.xxhash64("n"), F.lit(slabs)) == k).select("n", "x").toArrow()
+        n, x = rows["n"].to_numpy(), _matrix(rows["x"], dim) if rows.num_rows else np.zeros((0, dim))
+        order = np.argsort(n)
+        sent = spark.sparkContext.broadcast((n[order], x[order]))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, x = sent.value
+            single = x.astype(np.float32)
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    own, y = K.column_of(part, "n").to_numpy(), _matrix(K.column_of(part, "x"), dim)
+                    left = y.astype(np.float32)
+                    # A pair is looked at once, from its earlier vector.
+                    for c in range(int(np.searchsorted(n, own.min(), "right")), len(n), COLUMNS):
+                        i, j = np.nonzero(left @ single[c : c + COLUMNS].T >= cosine - 1e-4)
+                        j += c
+                        later = n[j] > own[i]
+                        i, j = i[later], j[later]
+                        near = np.einsum("ij,ij->i", y[i], x[j]) >= cosine
+                        yield pa.RecordBatch.from_arrays([pa.array(own[i[near]]), pa.array(n[j[near]])], ["a", "b"])
+
+        found = cut(vectors.select("n", "x").mapInArrow(compare, "a long, b long"))
+        sent.unpersist()
+        return found
+
+    pairs = reduce(DataFrame.unionByName, [of_slab(k) for k in range(slabs)])
+    left, right = (vectors.select(F.col("n").alias(c), F.col("vec_id").alias(f"v{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").where("va != vb")
+    return both.select(F.least("va", "vb").alias("vec_a"), F.greatest("va", "vb").alias("vec_b"))
+
+
+def classes(embeddings: DataFrame, cosine: float = COSINE, slab_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(vec_id, class_id, links): one row an id."""
+    pairs = cut(all_pairs(embeddings, cosine, slab_bytes))
+    ids = embeddings.where("vec_id is not null").select("vec_id").distinct()
+    none = ids.select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    if pairs.isEmpty():
+        return none
+    ends = pairs.select(F.col("vec_a").alias("vec_id")).unionAll(pairs.select(F.col("vec_b").alias("vec_id")))
+    links = ends.groupBy("vec_id").agg(F.count("*").alias("links"))
+    roots = connected_components(pairs.select(F.col("vec_a").alias("u"), F.col("vec_b").alias("v")))
+    linked = roots.select(F.col("id").alias("vec_id"), F.col("root").alias("class_id")).join(links, "vec_id")
+    return linked.unionByName(none.join(linked.select("vec_id"), "vec_id", "left_anti"))
+
+
 def op3_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    return classes(table(spark, sf_dir, "embeddings"))
 
 
-#: By brute force; the search finds nearly all of these (README).
-ORACLE_SQL = f"""
+#: All pairs by brute force; the index finds a part of these (README).
+PAIRS_SQL = f"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL),
 u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS r FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0)
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, max(list_dot_product(a.x, b.x) / (a.r * b.r)) AS cosine
 FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x)
 WHERE a.r > 0 AND b.r > 0 AND list_dot_product(a.x, b.x) / (a.r * b.r) >= {COSINE} GROUP BY ALL
 """
+
+ORACLE_SQL = f"""
+WITH RECURSIVE near AS MATERIALIZED ({PAIRS_SQL}),
+e AS MATERIALIZED (SELECT vec_a AS a, vec_b AS b FROM near UNION ALL SELECT vec_b, vec_a FROM near),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+classes AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT i.vec_id, coalesce(classes.c, i.vec_id) AS class_id, coalesce(links.n, 0) AS links
+FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) i
+LEFT JOIN classes ON classes.a = i.vec_id LEFT JOIN links ON links.a = i.vec_id
+"""

@@ -360,7 +360,7 @@ def by_sql(rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
     con.executemany("INSERT INTO embeddings VALUES (?, ?)", [[i, None if v is None else list(map(float, v))] for i, v in rows])
-    return {(a, b): c for a, b, c in con.sql(itq.ORACLE_SQL).fetchall()}
+    return {(a, b): c for a, b, c in con.sql(itq.PAIRS_SQL).fetchall()}
 
 
 def pairs_of(spark, rows, **more):
@@ -397,3 +397,24 @@ def test_itq_several_lengths(spark):
     rows += [(3000, rng.standard_normal(7)), (0, rows[100][1]), (None, rows[0][1]), (3001, None)]
     want, got = by_sql(rows), pairs_of(spark, rows)
     assert set(got) == set(want) and len(want) >= 22
+
+
+@pytest.mark.parametrize("slab_bytes", [itq.BROADCAST_BYTES, 40_000])
+def test_classes_and_links_against_sql(spark, slab_bytes):
+    """A cluster whose pairs lie about the threshold, chains, odd rows: one row an id, no link lost."""
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(64)
+    x = np.concatenate([centre + 0.22 * rng.standard_normal((150, 64)), rng.standard_normal((100, 64))])
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(1000), x, strict=False)]
+    rows += [(rows[200][0], rows[201][1]), (2000, rows[202][1]), (2001, None), (2002, [0.0] * 64), (2003, [float("nan")] * 64), (2004, []), (None, rows[0][1]), (2005, [1.0, 2.0]), (2006, [2.0, 4.0])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in itq.classes(df, slab_bytes=slab_bytes).collect())
+    assert got == sorted(con.sql(itq.ORACLE_SQL).fetchall())
+    assert len(got) == len({i for i, _ in rows if i is not None})
+    assert sum(k for *_, k in got) > 500 and sum(k == 0 for *_, k in got) > 80
+    assert itq.classes(df.where("false")).isEmpty()
