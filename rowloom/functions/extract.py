@@ -19,8 +19,17 @@ PHONE_LOOSE = rf"(?:[+]?[0-9]{{1,3}}[\s().-]?)?(?:[(]?[0-9]{{2,4}}[)]?{_SEP})?[0
 PHONE_RUN = r"(?:[+]?[0-9][0-9\s().-]{7,}[0-9])"
 URL_LISTED = r"(?i)(?:https?://|www[.])[^\s;,)<]+"
 URL_ANY = r"(?:https?://|www[.])\S+"
-POSTAL = r"(?i)\b(?:[0-9]{4,6}(?:-[0-9]{3,4})?|[A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-9]|[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2})\b"
-ZIP = r"\b[0-9]{5}(?:-[0-9]{4})?\b"
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with word edges as SQL's patterns have them: only A-Z, 0-9 and _ make words. (Java's
+    \\b counts letters of any script before version 19, and not from then on.)"""
+    word = "[0-9A-Za-z_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
+POSTAL = ascii_edges(r"(?i)\b(?:[0-9]{4,6}(?:-[0-9]{3,4})?|[A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-9]|[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2})\b")
+ZIP = ascii_edges(r"\b[0-9]{5}(?:-[0-9]{4})?\b")
 STATE = rf"(?iU)\b({'|'.join(STATES)})\b"
 STREET = r"(?i)\b(" + "|".join(["suite", "unit", "way", *(f"{a}|{b}[.]?" for a, b in (("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("lane", "ln"), ("road", "rd"), ("street", "st")))]) + r")\b"
 _LABELLED = r"\p{Alpha}[\p{Alpha} ./_-]{1,35}?"
@@ -66,7 +75,8 @@ def address_like_line(c: Column | str) -> Column:
     chunks = F.transform(F.split(text(c), "[|•\n]"), clean_field)
 
     def good(x: Column) -> Column:
-        return F.length(x).between(8, 260) & x.rlike("[0-9]") & (x.rlike(POSTAL) | x.rlike(STREET))
+    street = ascii_edges(STREET)
+        return F.length(x).between(8, 260) & x.rlike("[0-9]") & (x.rlike(POSTAL) | x.rlike(street))
 
     return F.coalesce(F.try_element_at(F.filter(chunks, good), F.lit(1)), F.lit(""))
 

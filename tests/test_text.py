@@ -133,3 +133,9 @@ def test_link_score(spark):
 def test_clean_is_pythons(spark, inputs):
     inputs = [x.replace("\x00", "").encode("utf-8", "ignore").decode() for x in inputs]
     assert values(spark, N.clean, inputs) == [" ".join(x.split()) for x in inputs]
+
+
+def test_word_edges_are_those_of_sql(spark):
+    """A letter of another script ends a word, as in the SQL."""
+    assert values(spark, E.address_like_line, ["Kast 5 der stßzu lich", "Kast 5 der stzu lich", "ü1234ü und so"]) == ["Kast 5 der stßzu lich", "", "ü1234ü und so"]
+    assert values(spark, lambda x: E.first_match(x, E.POSTAL), ["ü12345", "a12345"]) == ["12345", ""]
