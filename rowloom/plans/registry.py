@@ -368,7 +368,9 @@ def link_score(spark, sf_dir):
 @query(f"SELECT s.* FROM ({_SCORE_SQL}) s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT dst_url FROM ({_SCORE_SQL}) WHERE src_url IN (SELECT url FROM pages WHERE page_id % 2 = 0)) q WHERE q.dst_url = s.dst_url)")
 def frontier_anti_join(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
-    seen = frontier.page_links(p.where("page_id % 2 = 0")).select(F.col("dst_url").alias("url")).distinct()
+    # A page is its address: where several rows have one, the links of all of them are seen.
+    even = p.where("page_id % 2 = 0").select("url").distinct()
+    seen = frontier.page_links(p.join(even, "url", "left_semi")).select(F.col("dst_url").alias("url")).distinct()
     return frontier.unseen(frontier.scored_links(p, **LINK_WORDS), seen)
 
 

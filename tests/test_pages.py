@@ -113,3 +113,12 @@ def test_discovered(spark):
     got = frontier.discovered(site(spark).where("url = 'https://e.org/'"))
     assert {r["match_reasons"] for r in got.collect()} == {"clinics"}
     assert got.where("dst_url like '%o.org%' or dst_url like '%.jpg'").isEmpty()
+
+
+def test_all_rows_of_an_address_are_seen(spark, tmp_path):
+    """Rows of one address, whichever of them is even: the links of all are left out."""
+    from rowloom.plans import registry
+
+    page = lambda n, *hrefs: (n, "http://e.org/en", "".join(f'<a href="http://e.org/{h}">the</a>' for h in hrefs))
+    spark.createDataFrame([page(1, "los"), page(2, "mir"), (3, "http://e.org/o", '<a href="http://e.org/nub">the</a>')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r["dst_url"] for r in registry.QUERIES["frontier_anti_join"](spark, str(tmp_path)).collect()] == ["http://e.org/nub"]
