@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_field, clean_record, col, text
+from .text import clean_field, clean_record, col, first_present, text
 from .vocab import STATES
 
 _WORD = r"\p{Alnum}"
@@ -30,12 +30,20 @@ def ascii_edges(pattern: str) -> str:
 
 POSTAL = ascii_edges(r"(?i)\b(?:[0-9]{4,6}(?:-[0-9]{3,4})?|[A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-9]|[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2})\b")
 ZIP = ascii_edges(r"\b[0-9]{5}(?:-[0-9]{4})?\b")
-STATE = rf"(?iU)\b({'|'.join(STATES)})\b"
+#: Two letters each, those of one first letter together: fewer branches to try.
+STATE = r"(?iU)\b(" + "|".join(f"{a}[{''.join(s[1] for s in STATES if s[0] == a)}]" for a in sorted({s[0] for s in STATES})) + r")\b"
+#: A ZIP code behind a state, the second group: a house number may have five digits as well.
+STATE_ZIP = rf"{STATE}[\s,.]*({ZIP})"
 STREET = r"(?i)\b(" + "|".join(["suite", "unit", "way", *(f"{a}|{b}[.]?" for a, b in (("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("lane", "ln"), ("road", "rd"), ("street", "st")))]) + r")\b"
 _LABELLED = r"\p{Alpha}[\p{Alpha} ./_-]{1,35}?"
 LABEL = rf"^({_LABELLED})\s*(?:=|:)\s*(.+)$"
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), c being computed once however often it is named there, within other functions' too."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def first_match(c: Column | str, pattern: str, group: int = 0) -> Column:
     """The first match, '' if none."""
     return F.regexp_extract(text(c), pattern, group)
@@ -73,9 +81,9 @@ def substrings_in(c: Column | str, terms: Sequence[str]) -> Column:
 def address_like_line(c: Column | str) -> Column:
     """The first chunk between bars, bullets or line ends that looks like an address."""
     chunks = F.transform(F.split(text(c), "[|•\n]"), clean_field)
+    street = ascii_edges(STREET)
 
     def good(x: Column) -> Column:
-    street = ascii_edges(STREET)
         return F.length(x).between(8, 260) & x.rlike("[0-9]") & (x.rlike(POSTAL) | x.rlike(street))
 
     return F.coalesce(F.try_element_at(F.filter(chunks, good), F.lit(1)), F.lit(""))
@@ -85,24 +93,36 @@ def address_parts(address: Column | str, name: Column | str, state: Column | str
     """struct(address, city, state, postalCode): the gaps filled from the address's text.
 
     A leading repeat of the record's name is dropped. The city is the part
-    before the first part, other than the very first, that names a state.
+    before the first part, other than the very first, that names a state. The
+    postal code is the one behind a state, else the first.
     """
-    whole, nm = clean_record(address), clean_record(name)
-    repeated = (nm != "") & F.lower(whole).startswith(F.concat(F.lower(nm), F.lit(",")))
-    addr = F.when(repeated, F.trim(F.substring(whole, F.length(nm) + 2, F.length(whole)))).otherwise(whole)
-    parts = F.filter(F.transform(F.split(addr, ","), clean_record), lambda x: x != "")
-    before = F.filter(parts, lambda x, i: (i < F.size(parts) - 1) & F.get(parts, i + 1).rlike(STATE))
-    there = addr != ""
 
-    def fill(own: Column | str, found: Column) -> Column:
-        return F.when(text(own) != "", text(own)).when(there, F.coalesce(found, F.lit(""))).otherwise("")
+    def parts_of(a: Column) -> Column:
+        return F.filter(F.transform(F.split(a, ","), clean_record), lambda x: x != "")
 
-    return F.struct(
-        F.when(there, addr).otherwise(text(address)).alias("address"),
-        fill(city, F.try_element_at(before, F.lit(1))).alias("city"),
-        fill(state, F.upper(first_match(addr, STATE, 1))).alias("state"),
-        fill(postal, first_match(addr, ZIP)).alias("postalCode"),
-    )
+    def before_state(parts: Column) -> Column:
+        """The first part that another follows which names a state."""
+        named = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.rlike(STATE))
+        return once(F.array_position(named, True), lambda at: F.when(at > 0, F.get(parts, at.cast("int") - 1)))
+
+    def fill(own: Column | str, found: Column) -> Column:
+        return F.when(text(own) != "", text(own)).otherwise(F.coalesce(found, F.lit("")))
+
+    def gaps(addr: Column) -> Column:
+        there = addr != ""
+        return F.struct(
+            F.when(there, addr).otherwise(text(address)).alias("address"),
+            fill(city, F.when(there, once(parts_of(addr), before_state))).alias("city"),
+            fill(state, F.when(there, F.upper(first_match(addr, STATE, 1)))).alias("state"),
+            fill(postal, F.when(there, first_present(first_match(addr, STATE_ZIP, 2), first_match(addr, ZIP)))).alias("postalCode"),
+        )
+
+    def without_name(s: Column) -> Column:
+        repeated = (s["nm"] != "") & F.lower(s["whole"]).startswith(F.concat(F.lower(s["nm"]), F.lit(",")))
+        return F.when(repeated, F.trim(F.substring(s["whole"], F.length(s["nm"]) + 2, F.length(s["whole"])))).otherwise(s["whole"])
+
+    both = F.struct(clean_record(address).alias("whole"), clean_record(name).alias("nm"))
+    return once(both, lambda s: once(without_name(s), gaps))
 
 
 def record_start(line: Column | str, accept: Sequence[str], reject: Sequence[str]) -> Column:

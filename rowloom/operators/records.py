@@ -120,22 +120,31 @@ def block_rows(blocks: DataFrame, source_type: str = "provider_file_import", sou
     df = computed(blocks, "position", "block", F.transform(lines, tagged).alias("__lines"))
 
     def values(field: str, found: "None | object" = None) -> Column:
-        def of(x: Column) -> Column:
+        def of(x: Column, i: Column) -> Column:
             labelled = F.when(x["field"] == field, F.array(x["value"])).otherwise(F.array().cast("array<string>"))
-            return F.when(x["field"].isNotNull(), labelled).otherwise(found(x["line"])) if found else labelled
+            return F.when(x["field"].isNotNull(), labelled).otherwise(found(x["line"], i)) if found else labelled
 
         cleaned = F.transform(F.flatten(F.transform("__lines", of)), N.clean_record)
         return F.coalesce(F.try_element_at(F.filter(cleaned, lambda v: v != ""), F.lit(1)), F.lit(""))
 
+    # A plain search or one for a digit comes first: patterns of many branches seldom have to be tried.
+    none = F.array().cast("array<string>")
+    digit = lambda x: x.rlike(r"\p{Nd}")
+
     def urls(maps: bool):
-        return lambda x: F.filter(E.all_matches(x, E.URL_LISTED), lambda u: u.contains("google.com/maps") if maps else ~u.contains("google.com/maps"))
+        kept = lambda u: u.contains("google.com/maps") if maps else ~u.contains("google.com/maps")
+        there = lambda x: x.contains("google.com/maps") if maps else x.contains("://") | x.contains(".")
+        return lambda x, i: F.when(there(x), F.filter(E.all_matches(x, E.URL_LISTED), kept)).otherwise(none)
 
-    placed = lambda x: F.when((x.rlike(E.ZIP) | x.rlike(E.STATE)) & x.rlike(r"\p{Nd}"), F.array(x)).otherwise(F.array().cast("array<string>"))
+    # The name's own line is an address for five digits only if no other line is one.
+    placed = lambda x, i: F.when(digit(x) & (((i > 0) & x.rlike(E.ZIP)) | x.rlike(E.STATE)), F.array(x)).otherwise(none)
+    numbered = lambda x, i: F.when(digit(x) & x.rlike(E.ZIP), F.array(x)).otherwise(none)
     found = {
-        "email": lambda x: E.all_matches(x, E.EMAIL), "phone": lambda x: E.all_matches(x, E.PHONE_US), "website": urls(False), "sourceUrl": urls(True), "address": placed,
+        "email": lambda x, i: F.when(x.contains("@"), E.all_matches(x, E.EMAIL)).otherwise(none), "phone": lambda x, i: F.when(digit(x), E.all_matches(x, E.PHONE_US)).otherwise(none), "website": urls(False), "sourceUrl": urls(True), "address": placed,
     }
     named = F.coalesce(F.try_element_at(F.transform("__lines", lambda x: x["line"]), F.lit(1)), F.lit(""))
     cols = {f: values(f, found.get(f)) for f in vocab.FIELD_ALIASES if f not in ("name", "services")}
+    cols["address"] = F.coalesce(N.first_present(cols["address"]), values("address", numbered))
     terms = F.array_join(F.slice(E.terms_in("block", accept), 1, 6), "; ")
     out = computed(
         df, "position", named.alias("name"), *[v.alias(k) for k, v in cols.items()], F.coalesce(N.first_present(values("services")), terms).alias("services"),

@@ -163,3 +163,10 @@ def test_registry(spark, tmp_path):
     assert {r["url"] for r in records.registry_seeds(reg, mode="any").collect()} == {"https://b", "https://d", "https://e"}
     assert {r["url"] for r in records.discovery_sources(reg).collect()} == {"https://b", "https://d", "https://e"}
     assert {r["url"] for r in records.discovery_sources(reg, ["canada"]).collect()} == {"https://a", "https://b"}
+
+
+def test_numbers_of_five_digits_are_no_addresses(spark, tmp_path):
+    """A number in the name or before the street is no postal code where one stands behind the state."""
+    (tmp_path / "in.txt").write_text("Clinic 10000\n10000 Main St, Mobile, AL 36602\n251-555-0000\n\nClinic 12345\n251-555-0001\n")
+    got = [(r["name"], r["address"], r["city"], r["postalCode"]) for r in files.import_rows(spark, str(tmp_path / "in.txt"), "txt").orderBy("position").collect()]
+    assert got == [("Clinic 10000", "10000 Main St, Mobile, AL 36602", "Mobile", "36602"), ("Clinic 12345", "Clinic 12345", "", "12345")]

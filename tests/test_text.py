@@ -139,3 +139,8 @@ def test_word_edges_are_those_of_sql(spark):
     """A letter of another script ends a word, as in the SQL."""
     assert values(spark, E.address_like_line, ["Kast 5 der stßzu lich", "Kast 5 der stzu lich", "ü1234ü und so"]) == ["Kast 5 der stßzu lich", "", "ü1234ü und so"]
     assert values(spark, lambda x: E.first_match(x, E.POSTAL), ["ü12345", "a12345"]) == ["12345", ""]
+
+
+def test_postal_code_stands_behind_the_state(spark):
+    part = lambda x: E.address_parts(x, F.lit(""), F.lit(""), F.lit(""), F.lit(""))["postalCode"]
+    assert values(spark, part, ["10000 Main St, Mobile, AL 36602", "10000 Main St, Mobile, AL 36602-1234, USA", "Box 12345, Nowhere", "1 A St, tx"]) == ["36602", "36602-1234", "12345", ""]
