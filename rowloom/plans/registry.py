@@ -14,6 +14,7 @@ from ..functions import vocab
 from ..operators import frontier, merge, records, reports
 from ..sources import pages as P
 from .session import read, shared_folder
+from .shape import spread
 from .views import EVENT_VALUES_SQL, SUPPLIERS_SQL, event_values, suppliers
 
 #: The parts of an address, in order.
@@ -281,7 +282,7 @@ def derive_address_parts(spark, sf_dir):
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % 3 + 1).cast("int"))
     addr = F.concat("p_name", F.lit(", "), (k % 90).cast("string"), F.lit(" Main St, "), pick(["Mobile", "Austin", ""]), F.lit(", "), pick(["AL", "tx", "Nowhere"]), F.lit(" "), F.lpad((k % 100000).cast("string"), 5, "0"))
     d = E.address_parts(addr, "p_name", F.lit(""), F.lit(""), F.lit(""))
-    return read(spark, sf_dir, "part").select("p_partkey", d.alias("d")).select("p_partkey", "d.address", "d.state", "d.postalCode", "d.city")
+    return spread(read(spark, sf_dir, "part")).select("p_partkey", d.alias("d")).select("p_partkey", "d.address", "d.state", "d.postalCode", "d.city")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),

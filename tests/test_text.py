@@ -144,3 +144,13 @@ def test_word_edges_are_those_of_sql(spark):
 def test_postal_code_stands_behind_the_state(spark):
     part = lambda x: E.address_parts(x, F.lit(""), F.lit(""), F.lit(""), F.lit(""))["postalCode"]
     assert values(spark, part, ["10000 Main St, Mobile, AL 36602", "10000 Main St, Mobile, AL 36602-1234, USA", "Box 12345, Nowhere", "1 A St, tx"]) == ["36602", "36602-1234", "12345", ""]
+
+
+def test_address_parts_are_spread_and_computed_once(spark, tmp_path):
+    """A table in one small file is dealt to all cores; the plan names the address's cleaning once, not at each use."""
+    from rowloom.plans import registry
+
+    spark.range(50).selectExpr("id as p_partkey", "'x, y' as p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = registry.QUERIES["derive_address_parts"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("•") <= 3  # address, name, a part
