@@ -303,8 +303,8 @@ c AS (SELECT doc_id, line_no, trim(trim(regexp_replace(line, '[\\s\\x{a0}]+', '
 w AS (SELECT doc_id, line_no, line, concat_ws(' ', line, lead(line, 1) OVER o, lead(line, 2) OVER o, lead(line, 3) OVER o, lead(line, 4) OVER o) AS blob FROM c WHERE line != '' WINDOW o AS (PARTITION BY doc_id ORDER BY line_no))
 SELECT doc_id, line_no::INT AS line_no, left(line, 160) AS name, length(blob)::BIGINT AS chars FROM w WHERE contains(lower(blob), 'the') OR contains(lower(blob), 'les')""")
 def sliding_line_window(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    out = P.term_windows(d, ["the", "les"])
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
+    out = P.text_windows(d, ["the", "les"])
     return out.select(F.col("doc").alias("doc_id"), "line_no", "name", F.length("blob").cast("long").alias("chars"))
 
 
@@ -315,8 +315,8 @@ f AS (SELECT *, regexp_extract(blob, '{PHONE_RUN_SQL}') AS phone, regexp_extract
 SELECT doc_id, line_no::INT AS line_no, left(line, 160) AS name, length(blob)::BIGINT AS chars, left(blob, 500) AS address, phone, email, website FROM f
 WHERE (contains(lower(blob), 'the') OR contains(lower(blob), 'les')) AND (phone != '' OR email != '' OR website != '')""")
 def printed_contact_windows(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    out = P.printed_windows(d, ["the", "les"])
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
+    out = P.printed_text_windows(d, ["the", "les"])
     return out.select(F.col("doc").alias("doc_id"), "line_no", "name", F.length("blob").cast("long").alias("chars"), "address", "phone", "email", "website")
 
 

@@ -13,11 +13,12 @@ from collections.abc import Iterable, Iterator, Mapping
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import extract as E
 from ..functions import vocab
-from ..plans.shape import spread
+from ..plans.shape import computed, spread
 from .markup import Node, css, parse, select, xpath
 
 FIELDS = "name address city region postalCode country phone email website services sourceUrl lat lng evidenceNote".split()
@@ -296,7 +297,41 @@ def printed_windows(lines: DataFrame, terms: list[str] | None = None, size: int
     """(doc, page, line_no, name, blob, address, phone, email, website): windows of ``size`` lines that
     hold a term and a phone number, an e-mail address or a URL; the first of each, '' if there is
     none; address is the window's beginning."""
+    return _with_contacts(term_windows(lines, terms, size))
+
+
+def _with_contacts(windows: DataFrame) -> DataFrame:
     contacts = {"phone": PRINTED_PHONE, "email": PRINTED_EMAIL, "website": PRINTED_WEBSITE}
-    found = term_windows(lines, terms, size).withColumns({c: F.regexp_extract("blob", p, 0) for c, p in contacts.items()})
+    found = computed(windows, *windows.columns, *[F.regexp_extract("blob", p, 0).alias(c) for c, p in contacts.items()])
     found = found.where(" or ".join(f"{c} != ''" for c in contacts))
     return found.select("doc", "page", "line_no", "name", "blob", F.substring("blob", 1, 500).alias("address"), *contacts)
+
+
+def text_windows(texts: DataFrame, terms: list[str] | None = None, size: int = 5, contact: bool = False) -> DataFrame:
+    """``term_windows`` of whole texts (doc, page, text): each text's lines stay in its row, so nothing
+    is shuffled or sorted. ``contact`` leaves out windows that can't hold one: none of their lines has a
+    digit or a sign of an address."""
+    from ..functions.text import any_of, clean_line
+
+    terms = PRINTED_TERMS if terms is None else terms
+    own = ["doc", "page"]
+    sign = lambda x: x.contains("@") | x.contains("://") | x.contains("www.") | x.rlike(r"(?U)\d") if contact else F.lit(True)
+    cleaned = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), clean_line(x).alias("text")))
+    kept = computed(spread(texts), *own, F.filter(cleaned, lambda x: x["text"] != "").alias("kept"))
+    lines = computed(kept, *own, "kept", F.transform("kept", lambda x: x["text"]).alias("texts"), F.transform("kept", lambda x: sign(x["text"])).alias("signs"))
+
+    def window(x: Column, i: Column) -> Column:
+        able = F.exists(F.slice("signs", i + 1, size), lambda s: s)
+        blob = F.when(able, F.array_join(F.slice("texts", i + 1, size), " "))
+        return F.struct(x["line_no"].alias("line_no"), F.substring(x["text"], 1, 160).alias("name"), blob.alias("blob"))
+
+    def has_term(w: Column) -> Column:
+        return E.once(F.lower(w["blob"]), lambda low: any_of([low.contains(t) for t in terms]))
+
+    windows = F.filter(F.transform("kept", window), lambda w: w["blob"].isNotNull() & has_term(w))
+    return lines.select(*own, F.inline(windows))
+
+
+def printed_text_windows(texts: DataFrame, terms: list[str] | None = None, size: int = 5) -> DataFrame:
+    """``printed_windows`` of whole texts (doc, page, text)."""
+    return _with_contacts(text_windows(texts, terms, size, contact=True))

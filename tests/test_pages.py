@@ -122,3 +122,13 @@ def test_all_rows_of_an_address_are_seen(spark, tmp_path):
     page = lambda n, *hrefs: (n, "http://e.org/en", "".join(f'<a href="http://e.org/{h}">the</a>' for h in hrefs))
     spark.createDataFrame([page(1, "los"), page(2, "mir"), (3, "http://e.org/o", '<a href="http://e.org/nub">the</a>')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r["dst_url"] for r in registry.QUERIES["frontier_anti_join"](spark, str(tmp_path)).collect()] == ["http://e.org/nub"]
+
+
+def test_windows_of_whole_texts_need_no_shuffle(spark):
+    texts = ["City Hospital\n1 Road\n555 123\n\n 4567 x\ny\nz\nw", "Clinic\n\n+1 (555) 123-4567 a.b@c.org\nwww.c.org/x y", "no term\na@b.org", "Clinic\nno contact", "", None, "Doctor ٠٥٥ ١٢٣ ٤٥٦٧"]
+    df = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(texts)], "doc string, page int, text string").coalesce(4)
+    lines = df.selectExpr("doc", "page", "posexplode(split(text, '\n')) as (line_no, text)")
+    for ours, theirs in ((P.printed_text_windows(df), P.printed_windows(lines)), (P.text_windows(df), P.term_windows(lines))):
+        assert sorted(map(tuple, ours.select(*theirs.columns).collect())) == sorted(map(tuple, theirs.collect()))
+        plan = ours._jdf.queryExecution().executedPlan().toString()
+        assert ours.count() > 1 and "Window" not in plan and "hashpartitioning" not in plan
