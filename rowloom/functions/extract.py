@@ -132,7 +132,8 @@ def record_start(line: Column | str, accept: Sequence[str], reject: Sequence[str
     words = F.size(F.split(line, " "))
     named = line.rlike(title) & (words <= 10) & ~line.rlike(r"\p{Nd}")
     hit = (F.size(terms_in(line, reject)) > 0) | (F.size(terms_in(line, accept)) > 0)
-    return (line != "") & (F.length(line) <= 160) & ~line.rlike(rf"^{_LABELLED}\s*(?:=|:)") & (hit | named)
+    labelled = (line.contains(":") | line.contains("=")) & line.rlike(rf"^{_LABELLED}\s*(?:=|:)")
+    return (line != "") & (F.length(line) <= 160) & ~labelled & (hit | named)
 
 
 def links(html: Column | str) -> Column:

@@ -115,7 +115,8 @@ def block_rows(blocks: DataFrame, source_type: str = "provider_file_import", sou
 
     def tagged(x: Column) -> Column:
         field = F.try_element_at(known, N.normalized_name(F.regexp_extract(x, E.LABEL, 1)))
-        return F.struct(x.alias("line"), F.when(x.rlike(E.LABEL), field).alias("field"), N.clean_record(F.regexp_extract(x, E.LABEL, 2)).alias("value"))
+        able = x.contains(":") | x.contains("=")  # few lines have either: the pattern is tried on these
+        return F.struct(x.alias("line"), F.when(able & x.rlike(E.LABEL), field).alias("field"), F.when(able, N.clean_record(F.regexp_extract(x, E.LABEL, 2))).alias("value"))
 
     df = computed(blocks, "position", "block", F.transform(lines, tagged).alias("__lines"))
 
