@@ -418,3 +418,14 @@ def test_classes_and_links_against_sql(spark, slab_bytes):
     assert len(got) == len({i for i, _ in rows if i is not None})
     assert sum(k for *_, k in got) > 500 and sum(k == 0 for *_, k in got) > 80
     assert itq.classes(df.where("false")).isEmpty()
+
+
+def test_shards_are_tasks_of_their_own(spark):
+    """Shards are few bytes and much work: they aren't put together by their size."""
+    rng = np.random.default_rng(3)
+    rows = [(k, *map(int, rng.integers(-(2**62), 2**62, 3))) for k in range(400)]
+    prints = spark.createDataFrame(rows, "node long, lo long, hi long, grams long")
+    df = simhash_bk.near_edges(prints, shard=50)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    tables, key_bits = simhash_bk.table_shape(400, shard=50)
+    assert f", {tables << key_bits}), REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(bucket") == 1
